@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import residue
+from bookflow.llm import boilerplate, residue
 from bookflow.session import table
 
 
@@ -15,8 +15,43 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_chapters(table(spark, sf_dir, "chapter")).select("chapter_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that the chapters of one site share."""
+    return boilerplate.found(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "novel"))
+
+
+def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each such line's counts: chapters, clusters of equal chapters, dates."""
+    return boilerplate.statistics(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "novel"))
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chapter's text without them."""
+    return boilerplate.cleaned(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "novel"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_lines": p4_lines,
+    "p4_clean": p4_clean,
 }
 
-SQL: dict[str, str] = {}
+#: Lines of the chapters with the site, and those frequent in their site.
+_LINES = r"""
+WITH ch AS (SELECT DISTINCT id, novel_id, raw_text FROM chapter WHERE regexp_matches(raw_text, '[^\s]')),
+piece AS (SELECT id, novel_id, raw_text, string_split(raw_text, chr(10)) AS p FROM ch),
+num AS (SELECT id, novel_id, raw_text, p, unnest(range(len(p))) AS line_no FROM piece),
+line AS (SELECT num.id AS chapter_id, source_site AS site, line_no, p[line_no + 1] AS text, regexp_replace(lower(p[line_no + 1]), '[^\p{L}]', '', 'g') AS k FROM num JOIN novel ON novel.id = num.novel_id),
+total AS (SELECT site, count(DISTINCT chapter_id) AS n_site FROM line GROUP BY site),
+freq AS (SELECT site, k, count(DISTINCT chapter_id) AS n_chapters FROM line WHERE k <> '' GROUP BY site, k),
+bad AS (SELECT site, k, n_chapters, n_site FROM freq JOIN total USING (site) WHERE n_chapters >= 4 AND n_chapters >= 0.03 * n_site)
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": _LINES + "SELECT DISTINCT chapter_id, CAST(line_no AS INT) AS line_no FROM line JOIN bad USING (site, k)",
+    "p4_clean": _LINES
+    + """SELECT chapter_id, CAST(count(*) - count(CASE WHEN bad.k IS NULL THEN 1 END) AS INT) AS n_removed,
+  coalesce(string_agg(CASE WHEN bad.k IS NULL THEN text END, chr(10) ORDER BY line_no), '') AS clean_text
+FROM (SELECT DISTINCT * FROM line) AS l LEFT JOIN bad USING (site, k) GROUP BY chapter_id""",
+}
