@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import boilerplate, residue
+from pyspark.sql import functions as F
+
+from bookflow.llm import boilerplate, language, residue
 from bookflow.session import table
 
 
@@ -15,6 +17,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_chapters(table(spark, sf_dir, "chapter")).select("chapter_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the texts whose label is missing or wrong, or that mix languages."""
+    chapters = table(spark, sf_dir, "chapter")
+    return language.found(chapters, table(spark, sf_dir, "chapter_label"), residue.residue_chapters(chapters))
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every text with its language and confidence."""
+    texts = language.texts_with_labels(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "chapter_label"))
+    return texts.select("chapter_id", "field", F.explode("segments").alias("s")).select("chapter_id", "field", "s.*")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that the chapters of one site share."""
     return boilerplate.found(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "novel"))
@@ -32,6 +46,8 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_segments": p3_segments,
     "p4_found": p4_found,
     "p4_lines": p4_lines,
     "p4_clean": p4_clean,
