@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from bookflow.llm import boilerplate, language, residue
+from bookflow.llm import boilerplate, language, residue, truncation
 from bookflow.session import table
 
 
@@ -17,6 +17,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_chapters(table(spark, sf_dir, "chapter")).select("chapter_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters whose translation was cut off."""
+    return truncation.found(table(spark, sf_dir, "chapter"))
+
+
+def p2_site_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each site's translated chapters that are cut."""
+    return truncation.site_rates(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "novel"))
+
+
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every translation's language, state of its end, log-odds and verdict."""
+    return truncation.scored(table(spark, sf_dir, "chapter"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the texts whose label is missing or wrong, or that mix languages."""
     chapters = table(spark, sf_dir, "chapter")
@@ -46,6 +61,9 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_site_rates": p2_site_rates,
+    "p2_scores": p2_scores,
     "p3_found": p3_found,
     "p3_segments": p3_segments,
     "p4_found": p4_found,
