@@ -7,6 +7,7 @@ character is a few numpy passes whatever the number of texts.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -63,6 +64,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def slices(ids: list, texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
+    """Slices of about ``limit`` characters: what numpy holds at once stays bounded."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= limit:
+            yield ids[start : i + 1], texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield ids[start:], texts[start:]
+
+
 LONG = 64
 
 

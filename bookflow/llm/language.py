@@ -41,7 +41,7 @@ ANCHORS = {
     "zh": "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待老妇人走过村庄问孩子们她的兄弟去了哪里没有人回答那天夜里我们在桥下找到了七封信",
 }
 #: Labelled texts per language and field that the model is fitted on, and the longest text taken.
-SAMPLE, SAMPLE_CHARS = 500, 20_000
+SAMPLE, SAMPLE_CHARS = 400, 20_000
 BUCKETS = 1 << 16
 ANY = "*"
 #: The total that each language's counts are brought to, and the number of a field's most common n-grams that show its share in a label.
@@ -125,7 +125,7 @@ def scores(gram: np.ndarray, first: np.ndarray, matrix: np.ndarray) -> np.ndarra
 
 
 def _counts(gram: np.ndarray, first: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    of = np.repeat(group, np.diff(np.append(first, len(gram))))
+    of = np.repeat(group, np.diff(np.append(first, len(gram)))) if len(first) else np.zeros(0, np.int64)
     return np.stack([np.bincount(gram[of == i].ravel(), minlength=BUCKETS) for i in range(n)], axis=1).astype(float)
 
 
@@ -144,12 +144,12 @@ def fit(texts: list[str], labels: list[str], fields: list[str], shares: dict[tup
     the label is common itself. Then the lines that
     the language of their label explains best, and those of the ANY texts that one language clearly explains best, make the model."""
     shares = shares or {}
-    gram, first, text, _, letters = features(texts)
     names = [ANY, *LANGUAGES]
     n, kinds = len(names), list(FIELDS)
-    label = np.array([names.index(x) for x in labels])[text]
-    group = label + n * np.array([kinds.index(f) for f in fields])[text]
-    counts = _counts(gram, first, group, n * len(kinds))
+    group = np.array([names.index(x) for x in labels]) + n * np.array([kinds.index(f) for f in fields])
+    # in slices, so that the driver never holds more than the n-grams themselves
+    parts = [(g, f, group[np.array(i)[t]], le) for i, part in K.slices(list(range(len(texts))), texts, 500_000) for g, f, t, _, le in [features(part)] if len(f)]
+    counts = sum((_counts(g, f, gr, n * len(kinds)) for g, f, gr, _ in parts), np.zeros((BUCKETS, n * len(kinds))))
     pure = np.zeros((BUCKETS, len(LANGUAGES)))
     for f, kind in enumerate(kinds):
         field = counts[:, f * n]
@@ -169,14 +169,17 @@ def fit(texts: list[str], labels: list[str], fields: list[str], shares: dict[tup
     words = _counts(anchors, begin, np.arange(len(LANGUAGES)), len(LANGUAGES))
     words *= ANCHOR / words.sum(axis=0)
     matrix = _logs(pure + words)
-    size = np.diff(np.append(first, len(gram)))
     for _ in range(ROUNDS):
-        s = scores(gram, first, matrix)
-        best = s.argmax(axis=1)
-        two = np.partition(s, -2, axis=1)
-        sure = (two[:, -1] - two[:, -2] >= np.where(best == label - 1, MARGIN, 3 * MARGIN)) & ((label == 0) | (best == label - 1)) & (letters >= LEAST_LETTERS)
-        begin = np.concatenate(([0], np.cumsum(size[sure])[:-1])).astype(np.int64)
-        matrix = _logs(_counts(gram[np.repeat(sure, size)], begin, best[sure], len(LANGUAGES)) + words)
+        counts = np.zeros_like(pure)
+        for gram, first, gr, letters in parts:
+            label, s = gr % n, scores(gram, first, matrix)
+            best = s.argmax(axis=1)
+            two = np.partition(s, -2, axis=1)
+            sure = (two[:, -1] - two[:, -2] >= np.where(best == label - 1, MARGIN, 3 * MARGIN)) & ((label == 0) | (best == label - 1)) & (letters >= LEAST_LETTERS)
+            size = np.diff(np.append(first, len(gram)))
+            begin = np.concatenate(([0], np.cumsum(size[sure])[:-1])).astype(np.int64)
+            counts += _counts(gram[np.repeat(sure, size)], begin, best[sure], len(LANGUAGES))
+        matrix = _logs(counts + words)
     return matrix
 
 
@@ -250,13 +253,11 @@ def identified(chapters: DataFrame, matrix: np.ndarray) -> DataFrame:
     schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from bookflow.llm.residue import _chunks
-
         m = shared.value
         for batch in batches:
             ids, raw, translated = (batch.column(i).to_pylist() for i in range(3))
             flat = [((i, f), x) for i, r, t in zip(ids, raw, translated) for f, x in (("raw_text", r), ("translated_text", t)) if x is not None]
-            for keys, texts in _chunks([k for k, _ in flat], [x for _, x in flat]):
+            for keys, texts in K.slices([k for k, _ in flat], [x for _, x in flat]):
                 rows = list(_identify([k[0] for k in keys], [k[1] for k in keys], texts, m))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], schema=schema)
