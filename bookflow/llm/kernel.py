@@ -12,6 +12,10 @@ from functools import cache
 
 import numpy as np
 
+#: Flags of a code point, all found in one look-up.
+LETTER, MARK, DIGIT, SPACE, IDEOGRAPH, ENDER, FULL, CLOSER, BREAK, LATIN, PERSIAN = (1 << i for i in range(11))
+ENDERS, IDEOGRAPHIC, CLOSERS = ".!?…؟！？", "。", "\"”“»'’)]"
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 TOP = 0x20000  # code points beyond are treated as letters (they are CJK extensions)
 
 
@@ -39,7 +43,13 @@ def classes() -> dict[str, np.ndarray]:
     for a, b in ((0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x3040, 0x30FF)):
         ideograph[a : b + 1] = True
     ideograph[TOP] = True
-    return {"letter": letter, "mark": mark, "digit": digit, "lower": lower, "space": space, "ideograph": ideograph}
+    flags = np.zeros(TOP + 1, np.uint16)
+    for bit, on in ((LETTER, letter), (MARK, mark), (DIGIT, digit >= 0), (SPACE, space), (IDEOGRAPH, ideograph)):
+        flags[on] |= bit
+    for bit, chars in ((ENDER, ENDERS), (FULL, IDEOGRAPHIC), (CLOSER, CLOSERS), (BREAK, BREAKS), (PERSIAN, "پچژگکی")):
+        flags[[ord(c) for c in chars]] |= bit
+    flags[(np.arange(TOP + 1) < 0x250) & letter] |= LATIN
+    return {"letter": letter, "mark": mark, "digit": digit, "lower": lower, "space": space, "ideograph": ideograph, "flags": flags}
 
 
 def codepoints(texts: list[str], end: str = "\n") -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +74,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def slices(ids: list, texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
-    """Slices of about ``limit`` characters: what numpy holds at once stays bounded."""
+def slices(ids: list, texts: list[str], limit: int = 100_000) -> Iterator[tuple[list, list[str]]]:
+    """Slices of about ``limit`` characters: what numpy holds at once stays bounded, and in the processor's cache."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -110,28 +120,17 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
         return mix(np.add.reduceat(x, first) + size.astype(np.uint64))
 
 
-ENDERS, IDEOGRAPHIC, CLOSERS = ".!?…؟！？", "。", "\"”“»'’)]"
-BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
-
-
-@cache
-def _flags(chars: str) -> np.ndarray:
-    f = np.zeros(TOP + 1, bool)
-    f[[ord(c) for c in chars]] = True
-    return f
-
-
 def sentences(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the sentences in a batch: those pieces between ends of sentences that hold a letter.
 
     A sentence ends at a line break; after a run of end marks and the closing quotes or brackets behind it where
     white space or the line's end follows; after an ideographic full stop with such quotes.
     """
-    k, t = np.minimum(cp, TOP), classes()
+    f = classes()["flags"][np.minimum(cp, TOP)]
     n = len(cp)
-    enders, full, closers, breaks = (_flags(x)[k] for x in (ENDERS, IDEOGRAPHIC, CLOSERS, BREAKS))
-    space = t["space"][k] | breaks
-    here = np.arange(n, dtype=np.int64)
+    enders, full, closers, breaks = ((f & x) != 0 for x in (ENDER, FULL, CLOSER, BREAK))
+    space = (f & (SPACE | BREAK)) != 0
+    here = np.arange(n, dtype=np.int32)
     last = np.maximum.accumulate(np.where(closers, -1, here))  # the last position up to here that is no closing quote
     safe = np.maximum(last, 0)
     next_space = np.concatenate((space[1:], [True]))
@@ -142,6 +141,6 @@ def sentences(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(ends) or ends[-1] != n:
         ends = np.append(ends, n)
     starts = np.concatenate(([0], ends[:-1]))
-    letters = np.concatenate(([0], np.cumsum(t["letter"][k])))
+    letters = np.concatenate(([0], np.cumsum((f & LETTER) != 0)))
     keep = letters[ends] > letters[starts]
     return starts[keep], ends[keep]

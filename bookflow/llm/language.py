@@ -80,14 +80,16 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """(hashed 2- and 3-grams of all lines with letters; start of each line in them; text of each line; its number; its letters)."""
     cp, starts = K.codepoints(texts)
     k, t = np.minimum(cp, K.TOP), K.classes()
-    letter = t["letter"][k] | t["mark"][k]
+    flags = t["flags"][k]
+    letter = (flags & (K.LETTER | K.MARK)) != 0
     sym = np.where(letter, t["lower"][k], 0).astype(np.uint32)
     newline = cp == 10
     keep = letter | np.concatenate(([True], letter[:-1])) | newline
     at = np.flatnonzero(keep)
     line = (np.cumsum(newline) - newline)[at]
     sym = sym[at]
-    weights = np.where(t["ideograph"][k][at], IDEOGRAPH_WEIGHT, 1) * (sym > 0)
+    ideograph = (flags[at] & K.IDEOGRAPH) != 0
+    weights = np.where(ideograph, IDEOGRAPH_WEIGHT, 1) * (sym > 0)
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     letters = np.add.reduceat(weights, first) if len(first) else np.zeros(0, np.int64)
     p1 = np.concatenate(([0], sym[:-1])).astype(np.uint32)
@@ -99,7 +101,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         two = (sym * np.uint32(2654435761) + p1 * np.uint32(2246822519)) ^ np.uint32(0x5BD1E995)
         tri = (two + p2 * np.uint32(3266489917)) * np.uint32(668265263)
         # an ideograph says more by its script than by its neighbour: one gram for all of them instead of the pair
-        two = np.where(t["ideograph"][k][at], np.uint32(0x7FEB352D), two * np.uint32(374761393))
+        two = np.where(ideograph, np.uint32(0x7FEB352D), two * np.uint32(374761393))
     gram = np.empty((len(sym), 2), np.uint16)
     gram[:, 0] = two >> np.uint32(16)
     gram[:, 1] = tri >> np.uint32(16)
@@ -148,7 +150,7 @@ def fit(texts: list[str], labels: list[str], fields: list[str], shares: dict[tup
     n, kinds = len(names), list(FIELDS)
     group = np.array([names.index(x) for x in labels]) + n * np.array([kinds.index(f) for f in fields])
     # in slices, so that the driver never holds more than the n-grams themselves
-    parts = [(g, f, group[np.array(i)[t]], le) for i, part in K.slices(list(range(len(texts))), texts, 500_000) for g, f, t, _, le in [features(part)] if len(f)]
+    parts = [(g, f, group[np.array(i)[t]], le) for i, part in K.slices(list(range(len(texts))), texts) for g, f, t, _, le in [features(part)] if len(f)]
     counts = sum((_counts(g, f, gr, n * len(kinds)) for g, f, gr, _ in parts), np.zeros((BUCKETS, n * len(kinds))))
     pure = np.zeros((BUCKETS, len(LANGUAGES)))
     for f, kind in enumerate(kinds):
@@ -230,17 +232,26 @@ def _identify(ids: list, fields: list[str], texts: list[str], matrix: np.ndarray
     # confidence: the posterior, tempered by length, since neighbouring n-grams aren't independent
     size = np.diff(np.append(first, len(gram)))
     sure = _softmax(s / np.sqrt(size)[:, None])[row, lang]
-    begins = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-    for a, b in zip(begins, np.append(begins[1:], len(text))):
-        weight, conf, lg, num = letters[a:b], sure[a:b], lang[a:b], number[a:b]
-        langs = []
-        for x in sorted(set(lg.tolist())):
-            m = lg == x
-            langs.append({"lang": LANGUAGES[x], "n_lines": int(m.sum()), "confidence": float(np.average(conf[m], weights=weight[m]))})
-        cut = np.flatnonzero(np.concatenate(([True], lg[1:] != lg[:-1])))
-        segments = [{"first_line": int(num[i]), "last_line": int(num[j - 1]), "lang": LANGUAGES[lg[i]], "confidence": float(np.average(conf[i:j], weights=weight[i:j]))} for i, j in zip(cut, np.append(cut[1:], b - a))]
-        which = int(np.bincount(lg, weights=weight).argmax())
-        yield ids[text[a]], fields[text[a]], LANGUAGES[which], float(np.average(conf, weights=weight)), b - a, langs, segments
+    # sums over runs of one language within one text: the segments
+    change = np.concatenate(([True], (text[1:] != text[:-1]) | (lang[1:] != lang[:-1])))
+    run = np.flatnonzero(change)
+    weight, lines = np.add.reduceat(letters, run), np.diff(np.append(run, len(text)))
+    mass = np.add.reduceat(sure * letters, run)
+    of, which = text[run], lang[run].tolist()
+    first_line, last_line = number[run].tolist(), number[np.append(run[1:], len(text)) - 1].tolist()
+    begins = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    conf = (mass / weight).tolist()
+    weight, mass, lines, of = weight.tolist(), mass.tolist(), lines.tolist(), of.tolist()
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(of)]):
+        if b - a == 1:
+            name = LANGUAGES[which[a]]
+            yield ids[of[a]], fields[of[a]], name, conf[a], lines[a], [{"lang": name, "n_lines": lines[a], "confidence": conf[a]}], [{"first_line": first_line[a], "last_line": last_line[a], "lang": name, "confidence": conf[a]}]
+            continue
+        total = {x: [sum(col[i] for i in range(a, b) if which[i] == x) for col in (weight, mass, lines)] for x in sorted(set(which[a:b]))}
+        best_lang = max(total, key=lambda x: (total[x][0], -x))
+        langs = [{"lang": LANGUAGES[x], "n_lines": n_lines, "confidence": m / w} for x, (w, m, n_lines) in total.items()]
+        segments = [{"first_line": first_line[i], "last_line": last_line[i], "lang": LANGUAGES[which[i]], "confidence": conf[i]} for i in range(a, b)]
+        yield ids[of[a]], fields[of[a]], LANGUAGES[best_lang], sum(mass[a:b]) / sum(weight[a:b]), sum(lines[a:b]), langs, segments
 
 
 def identified(chapters: DataFrame, matrix: np.ndarray) -> DataFrame:

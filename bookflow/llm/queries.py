@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from bookflow.llm import boilerplate, language, residue, truncation
+from bookflow.llm import alignment, boilerplate, language, residue, truncation
 from bookflow.session import table
 
 
@@ -59,6 +59,12 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.cleaned(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "novel"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sentences that translate one another."""
+    chapters = table(spark, sf_dir, "chapter")
+    return alignment.found(chapters, residue.residue_chapters(chapters), truncation.found(chapters))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_lines": p4_lines,
     "p4_clean": p4_clean,
+    "p5_found": p5_found,
 }
 
 #: Lines of the chapters with the site, and those frequent in their site.
