@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from bookflow.llm import alignment, boilerplate, language, residue, truncation
+from bookflow.llm import alignment, boilerplate, encoding, language, residue, truncation
 from bookflow.session import table
 
 
@@ -65,6 +65,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.found(chapters, residue.residue_chapters(chapters), truncation.found(chapters))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document's text."""
+    return encoding.encoded(table(spark, sf_dir, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether decoding gives each text back."""
+    return encoding.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -76,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_lines": p4_lines,
     "p4_clean": p4_clean,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
 }
 
 #: Lines of the chapters with the site, and those frequent in their site.
