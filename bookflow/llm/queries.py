@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from bookflow.llm import alignment, boilerplate, encoding, language, residue, truncation
+from bookflow.llm import alignment, boilerplate, encoding, language, mixing, quality, residue, truncation
 from bookflow.session import table
 
 
@@ -75,6 +75,26 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.round_trip(table(spark, sf_dir, "documents"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each mix with their repeat counts."""
+    return mixing.mixed(*(table(spark, sf_dir, t) for t in ("documents", "mix_target", "mix_plan")))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of each mix's sources."""
+    return mixing.report(*(table(spark, sf_dir, t) for t in ("documents", "mix_target", "mix_plan")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are for the most part a list, a table or junk."""
+    return quality.found(table(spark, sf_dir, "documents"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics, kind and probability."""
+    return quality.classified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -88,6 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 
 #: Lines of the chapters with the site, and those frequent in their site.
