@@ -31,8 +31,8 @@ from bookflow.llm import encoding
 from bookflow.session import written
 
 BLOCK, SHARD = 256, 4096
-#: Documents that may fill what is left of a source's share.
-FILLS = 3
+#: Rounds in which what is left of a source's share is filled with further documents that fit.
+FILLS = 2
 #: Documents in one bucket of a prefix sum, about.
 BUCKET_ROWS = 50_000
 #: Multipliers of the permutations: primes, of which the first that does not divide a source's number of blocks is taken.
@@ -125,13 +125,15 @@ def mixed(documents: DataFrame, targets: DataFrame, plan: DataFrame) -> tuple[Da
     )
     once_more = (F.col("reached") + F.col("n_tokens") <= F.col("more")).cast("int")
     out = written(ordered.join(wanted, "source").select("mix_name", "doc_id", "source", "n_tokens", "max_repeats", "times", "more", once_more.alias("extra")), "mix")
-    # the last document before the point seldom ends at it: what is left goes to the largest further document that fits, a few times
+    # the last document before the point seldom ends at it: what is left goes to further documents that fit
     keys = ["mix_name", "source"]
     for _ in range(FILLS):
-        left = out.groupBy(*keys).agg((F.max("more") - F.sum(F.col("n_tokens") * F.col("extra"))).alias("left"))
+        left = out.groupBy(*keys).agg((F.max("more") - F.sum(F.col("n_tokens") * F.col("extra"))).alias("left"), F.count("*").alias("_n"))
         fits = out.join(F.broadcast(left), keys).where((F.col("extra") == 0) & (F.col("n_tokens") <= F.col("left")) & (F.col("times") < F.col("max_repeats")))  # a row per row of the targets
-        best = fits.groupBy(*keys).agg(F.max(F.struct("n_tokens", F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("fill"))
-        out = out.join(F.broadcast(best), keys, "left").withColumn("extra", F.when(F.col("doc_id") == F.col("fill"), 1).otherwise(F.col("extra"))).drop("fill")
+        fits = fits.withColumn("_h", F.xxhash64("doc_id", F.lit("fill")))
+        run = prefix(fits, keys, F.pmod(F.col("_h"), F.floor(F.col("_n") / BUCKET_ROWS) + 1), ["_h", "doc_id"], "n_tokens", "run")
+        fill = run.where(F.col("run") + F.col("n_tokens") <= F.col("left")).select("mix_name", "doc_id", F.lit(1).alias("fill"))
+        out = written(out.join(fill, ["mix_name", "doc_id"], "left").withColumn("extra", F.greatest("extra", F.coalesce("fill", F.lit(0)))).drop("fill"), "mix")
     out = out.withColumn("repeats", F.least(F.col("times") + F.col("extra"), F.col("max_repeats")).cast("int"))
     return out.where("repeats > 0").select("mix_name", "doc_id", "source", "n_tokens", "repeats"), demand
 
