@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 RATE_LIMIT = r"429|too many requests|rate limit exceeded"
 #: Words that point to the provider (fixed values).
-PROVIDER = r"api key|api_key|unauthorized|401|403|quota|credit|billing|model not found|rate limit|429|timeout"
+PROVIDER = "provider|tokenrouter|gemini|groq|api key|suggestion|quota|rate limit|429|401|503"
 
 
 def is_rate_limit(message: Column, code: Column | None = None) -> Column:

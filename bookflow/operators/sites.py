@@ -33,7 +33,11 @@ def with_native_flag(novels: DataFrame, sites: DataFrame) -> DataFrame:
     return novels.join(flags, "source_site", "left").withColumn("native", F.coalesce("native", F.lit(False)))
 
 
+#: Parts of an address that suggest protection, or pages built by scripts (fixed values).
+PROTECTED, SCRIPTED = "cloudflare|protected|wordpress|wp-", "app|javascript|dynamic|series"
+
+
 def suggested_method(url: Column) -> Column:
-    """How pages of an address are likely fetched, as the index of the choice: 0 plain, 1 rendered, 2 interface."""
+    """How pages of an address are likely fetched: 1 protected, 2 rendered, 0 plain."""
     low = F.lower(url)
-    return F.when(low.rlike(r"/api/|\.json"), 2).when(low.rlike(r"react|next|app\.|/#/"), 1).otherwise(0)
+    return F.when(low.rlike(PROTECTED), 1).when(low.rlike(SCRIPTED), 2).otherwise(0)
