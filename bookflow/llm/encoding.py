@@ -48,9 +48,9 @@ class Vocabulary:
             pieces[rank] = token.encode("latin-1").hex()
         self.pieces = F.split(F.lit(",".join(pieces)), ",")
 
-    def rank(self, token: Column) -> Column:
-        """The rank of a token, null if it has none."""
-        return F.element_at(F.element_at(self.table, _bucket(token)), token)
+    def bound(self, body) -> Column:
+        """``body(rank)`` with the table bound once, however often ``rank`` (of a token; null if it has none) is used."""
+        return _let(self.table, lambda table: body(lambda token: F.element_at(F.element_at(table, _bucket(token)), token)))
 
 
 def _bucket(token: Column) -> Column:
@@ -71,9 +71,9 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def merged(piece: Column, vocabulary: Vocabulary) -> Column:
-    """Ids of one piece (as bytes): ranked merges, folded."""
-    pair = lambda a, b: F.coalesce(vocabulary.rank(F.concat(a, b)), F.lit(NONE))
+def merged(piece: Column, rank) -> Column:
+    """Ids of one piece (as bytes): ranked merges, folded. ``rank`` gives the rank of a token."""
+    pair = lambda a, b: F.coalesce(rank(F.concat(a, b)), F.lit(NONE))
     parts = F.transform(F.sequence(F.lit(1), F.length(piece)), lambda i: F.substring(piece, i, F.lit(1)))
 
     def start(p: Column) -> Column:
@@ -99,7 +99,7 @@ def merged(piece: Column, vocabulary: Vocabulary) -> Column:
         return _let(F.coalesce(F.array_min(acc["r"]), F.lit(NONE)), lambda low: F.when(low == NONE, acc).otherwise(_let(F.array_position(acc["r"], low).cast("int"), lambda k: join(acc, k))))
 
     folded = _let(parts, lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p)), start(p), step))
-    return F.transform(folded["p"], lambda t: vocabulary.rank(t))
+    return F.transform(folded["p"], rank)
 
 
 def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -109,7 +109,7 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocab
     split = documents.select(F.col(key), F.coalesce(F.when(F.col(text) != "", pieces(F.col(text))), listed).alias("words"))
     known = split.select(
         key,
-        F.transform("words", lambda w, i: _let(as_bytes(w), lambda b: F.struct(i.alias("at"), vocabulary.rank(b).alias("id"), b.alias("piece")))).alias("words"),
+        vocabulary.bound(lambda rank: F.transform("words", lambda w, i: _let(as_bytes(w), lambda b: F.struct(i.alias("at"), rank(b).alias("id"), b.alias("piece"))))).alias("words"),
     ).select(
         key,
         F.transform(F.filter("words", lambda x: x["id"].isNotNull()), lambda x: F.struct(x["at"], F.array(x["id"]).alias("ids"))).alias("known"),
@@ -117,7 +117,7 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocab
     )
     known = written(known, "pieces")
     rest = known.select(key, F.explode("rest").alias("x")).select(key, "x.at", "x.piece")
-    distinct = written(rest.groupBy("piece").agg(F.count("*").alias("n")).repartition("piece").select("piece", "n", merged(F.col("piece"), vocabulary).alias("ids")), "merged")
+    distinct = written(rest.groupBy("piece").agg(F.count("*").alias("n")).repartition("piece").select("piece", "n", vocabulary.bound(lambda rank: merged(F.col("piece"), rank)).alias("ids")), "merged")
     total = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot = distinct.where(F.col("n") > F.lit(HOT) * F.lit(total)).select("piece", F.col("ids").alias("hot_ids"))
     cold = distinct.where(F.col("n") <= F.lit(HOT) * F.lit(total)).select(F.col("piece").alias("join_piece"), F.col("ids").alias("cold_ids"))
