@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bookflow.functions import html, jsonwalk
 from bookflow.functions import text as X
 from bookflow.functions import urls as U
-from bookflow.operators import errors, glossary, refs, sites, state
-from bookflow.schemas import ACTIVE_JOBS, TO_SCRAPE
-from bookflow.session import table
+from bookflow.operators import epub, errors, glossary, refs, sites, state, translate
+from bookflow.schemas import ACTIVE_JOBS, JOB, TO_SCRAPE
+from bookflow.session import shared_folder, table
+from bookflow.sources import snapshots
+from bookflow.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -523,3 +527,101 @@ def glossary_delete(s, d):
     g = table(s, d, "glossary_rule")
     gone = g.groupBy(F.lower(F.trim("source_term")).alias("k")).agg(F.max("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("id")
     return g.join(gone, "id", "left_anti").select(F.col("id").alias("rule_id"), "source_term", "target_term")
+
+
+# ---- pages, JSON, packages, providers, streams ----------------------------------------------------------------------
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    """A page for each chapter with text, laid out as its site's selectors expect, with a script that holds an end tag."""
+    site = table(s, d, "site").select(F.col("site_id").alias("source_site"), F.regexp_extract(F.col("selectors")["novel_title"], r"\.([\w-]+)", 1).alias("cls"), F.regexp_extract(F.col("selectors")["chapter_text"], r"#([\w-]+)", 1).alias("box"))
+    n = table(s, d, "novel").join(site, "source_site").select(F.col("id").alias("novel_id"), F.col("source_site").alias("site_id"), "cls", "box")
+    c = chapters(s, d).where(X.not_blank(F.col("raw_text"))).join(n, "novel_id")
+    page = F.concat(
+        F.lit("<html><head><title>x</title></head><body><h1 class='"), "cls", F.lit("'>"), X.escaped(F.col("title")), F.lit("</h1><div id='"), "box", F.lit("'>"),
+        X.paragraphs(X.escaped(F.col("raw_text")), "\n"), F.lit("</div><script>var s = '</p>';</script><div><p>footer</div></body></html>"),
+    )
+    return c.select(F.col("id").alias("page_id"), "site_id", page.alias("html"))
+
+
+BLANKS = r"[ \t\x{A0}]+"
+_TEXT = f"list_filter(list_transform(string_split(replace(raw_text, chr(13) || chr(10), chr(10)), chr(10)), lambda p: {strip(f"regexp_replace({strip('p')}, '{BLANKS}', ' ', 'g')")}), lambda p: p <> '')"
+
+
+@query(f"SELECT id AS page_id, {strip(f"regexp_replace(title, '{BLANKS}', ' ', 'g')")} AS title, array_to_string({_TEXT}, chr(10) || chr(10)) AS body FROM cur WHERE coalesce({strip('raw_text')} <> '', false)")
+def html_title_body(s, d):
+    return html.extracted(_pages(s, d), table(s, d, "site")).select("page_id", "title", "body")
+
+
+@query("SELECT novel_id AS page_id, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) - 1 AS INT) AS pos, source_url AS href FROM cur")
+def html_refs(s, d):
+    """Lists of chapters, without the links of a widget for the latest ones."""
+    site = table(s, d, "site").select(F.col("site_id").alias("source_site"), F.regexp_extract(F.col("selectors")["chapter_list"], r"\.([\w-]+)", 1).alias("cls"))
+    n = table(s, d, "novel").join(site, "source_site").select(F.col("id").alias("novel_id"), F.col("source_site").alias("site_id"), "cls")
+    link = F.transform(F.array_sort(F.collect_list(F.struct("idx", "id", "source_url", "title"))), lambda x: F.concat(F.lit("<li><a href='"), x["source_url"], F.lit("'>"), X.escaped(x["title"]), F.lit("</a>")))
+    toc = chapters(s, d).groupBy("novel_id").agg(F.array_join(link, "").alias("items")).join(n, "novel_id")
+    page = F.concat(F.lit("<html><body><div class='"), "cls", F.lit("'><div class='latest-widget'><a href='/chapter-x'>new</a></div><ul>"), "items", F.lit("</ul></div></body></html>"))
+    found = html.extracted(toc.select(F.col("novel_id").alias("page_id"), "site_id", page.alias("html")), table(s, d, "site"))
+    return found.select("page_id", F.explode("refs").alias("r")).select("page_id", "r.pos", "r.href")
+
+
+@query("SELECT novel_id, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) - 1 AS INT) AS pos, source_url AS url, trim(idx || ' ' || title) AS title FROM cur")
+def manifest_json(s, d):
+    item = F.array_sort(F.collect_list(F.struct("idx", "id", F.col("source_url").alias("url"), F.col("idx").cast("string").alias("label"), "title")))
+    books = chapters(s, d).groupBy("novel_id").agg(F.to_json(F.struct(item.alias("chapters"))).alias("payload"))
+    return books.select("novel_id", F.explode(jsonwalk.manifest(F.col("payload"))).alias("x")).select("novel_id", "x.*")
+
+
+@query("SELECT novel_id, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) - 1 AS INT) AS pos, source_url AS url, title FROM cur")
+def json_walk(s, d):
+    item = F.array_sort(F.collect_list(F.struct("idx", "id", F.struct(F.col("source_url").alias("href"), F.col("title").alias("name")).alias("data"))))
+    books = chapters(s, d).groupBy("novel_id").agg(F.concat(F.lit('<script id="__NEXT_DATA__">'), F.to_json(F.struct(F.struct(item.alias("list")).alias("props"))), F.lit("</script>")).alias("page"))
+    return jsonwalk.references(books.select("novel_id", jsonwalk.embedded(F.col("page")).alias("payload")), "novel_id", "payload")
+
+
+@query("SELECT doc_id AS page_id, CASE WHEN length(text) > 500 THEN length(text) ELSE 2 * length(text) END AS n_chars, NOT coalesce(length(text) > 500, false) AS rendered FROM documents")
+def page_snapshots(s, d):
+    """Plain fetches that count, else rendered ones."""
+    t = table(s, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    plain = t.select("page_id", F.when(F.col("text").isNull(), 404).otherwise(200).alias("status"), F.col("text").alias("html"), F.lit(False).alias("rendered"))
+    rendered = t.select("page_id", F.lit(200).alias("status"), F.concat("text", "text").alias("html"), F.lit(True).alias("rendered"))
+    return snapshots.with_fallback(plain.unionByName(rendered)).select("page_id", F.length("html").cast("long").alias("n_chars"), "rendered")
+
+
+@query(f"SELECT id AS chapter_id, {NUMBER} IS NULL OR {NUMBER} = idx + 1 AS right_page FROM cur")
+def right_page(s, d):
+    c = chapters(s, d).select(F.col("id").alias("chapter_id"), (F.col("idx") + 1).cast("long").alias("expected"), U.chapter_number(F.col("source_url")).alias("actual"))
+    return snapshots.checked(c, "expected", "actual").select("chapter_id", "right_page")
+
+
+@query(f"""WITH {CUR}, {NATIVE} SELECT novel_id, CAST(count(*) AS INT) AS n_chapters FROM cur JOIN native n ON n.id = novel_id WHERE coalesce({strip('translated_text')} <> '', false) OR (n.native AND coalesce({strip('raw_text')} <> '', false)) GROUP BY novel_id""")
+def epub_files(s, d):
+    """Packages written to the shared folder, one for each book with chapters."""
+    out = f"{shared_folder(s)}/epub-{uuid.uuid4().hex}"
+    return epub.written_packages(epub_chapters(s, d), table(s, d, "novel"), out).select("novel_id", "n_chapters")
+
+
+@query()
+def translate_offline(s, d):
+    """Pending chapters through the offline provider. A provider is no SQL; tested on fixtures."""
+    rules = glossary.rules_in_order(table(s, d, "glossary_rule"))
+    c = state.pending(chapters(s, d)).select(F.col("id").alias("chapter_id"), "raw_text")
+    return translate.translated(c, translate.DictionaryProvider(), rules).select("chapter_id", "status", "error_message")
+
+
+@query("SELECT job_type, status, count(*) AS n FROM job GROUP BY job_type, status")
+def stream_ingest(s, d):
+    """The job table taken up as a stream, once, with a checkpoint."""
+    base = f"{shared_folder(s)}/ingest-{uuid.uuid4().hex}"
+    taken = ingest.take_up(s, f"{d}/job.parquet*", JOB, f"{base}/sink", f"{base}/checkpoint")
+    return taken.groupBy("job_type", "status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(s, d):
+    """Events by hour and type, counted in a stream with a watermark."""
+    from bookflow.schemas import EVENT
+
+    name = f"counts_{uuid.uuid4().hex}"
+    found = ingest.windowed_counts(s, f"{d}/events.parquet*", EVENT, name, f"{shared_folder(s)}/{name}")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -1,21 +1,15 @@
-"""Schemas and allowed values of the engine's tables."""
+"""Schemas (as DDL) and allowed values of the engine's tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-NOVEL = _struct("id long, title string, source_url string, source_site string, author string, cover_url string, description string, status string, created_at timestamp_ntz, updated_at timestamp_ntz")
-CHAPTER = _struct("id long, novel_id long, idx int, title string, source_url string, raw_text string, translated_text string, status string, updated_at timestamp_ntz")
-GLOSSARY_RULE = _struct("id long, source_term string, target_term string, notes string, is_global boolean")
-JOB = _struct("id long, novel_id long, job_type string, status string, progress int, total_items int, done_items int, error_message string, created_at timestamp_ntz, updated_at timestamp_ntz")
-SITE = _struct("priority int, site_id string, base_url string, is_native_arabic boolean, selectors map<string,string>, request_delay_min double, request_delay_max double, use_curl_cffi boolean, respect_robots_txt boolean")
-PAGE = _struct("page_id long, url string, status int, html string, rendered boolean")
-CHAPTER_REF = _struct("page_seq int, pos int, title string, source_url string")
+NOVEL = "id long, title string, source_url string, source_site string, author string, cover_url string, description string, status string, created_at timestamp_ntz, updated_at timestamp_ntz"
+CHAPTER = "id long, novel_id long, idx int, title string, source_url string, raw_text string, translated_text string, status string, updated_at timestamp_ntz"
+GLOSSARY_RULE = "id long, source_term string, target_term string, notes string, is_global boolean"
+JOB = "id long, novel_id long, job_type string, status string, progress int, total_items int, done_items int, error_message string, created_at timestamp_ntz, updated_at timestamp_ntz"
+SITE = "priority int, site_id string, base_url string, is_native_arabic boolean, selectors map<string,string>, request_delay_min double, request_delay_max double, use_curl_cffi boolean, respect_robots_txt boolean"
+EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+PAGE = "page_id long, url string, status int, html string, rendered boolean"
+CHAPTER_REF = "page_seq int, pos int, title string, source_url string"
 
 NOVEL_STATUS = ("pending", "scraping", "scraped", "failed")
 CHAPTER_STATUS = ("pending", "scraped", "translating", "translated", "failed")
