@@ -131,7 +131,7 @@ def test_language_on_held_out_lines():
 def test_language_cases(spark):
     matrix = language.fit([], [], [])
     en, de = "The gong of the town sounded and the guards said nothing at all.", "Der Bauer ging nach Hause und die Wache sagte nichts von dem Regen."
-    rows = [(1, 1, en, None), (2, 1, en + "\n\n" + de, " "), (3, 1, "12\n---", None), (4, 1, en, None), (5, 1, en, None), (5, 1, en, None), (6, 1, en * 2000, None)]
+    rows = [(1, 1, en, None), (2, 1, en + " " + en + "\n\n" + de, " "), (3, 1, "12\n---", None), (4, 1, en, None), (5, 1, en, None), (5, 1, en, None), (6, 1, en * 2000, None)]
     labels = spark.createDataFrame([(1, "en", None), (2, "en", None), (4, "fr", None), (5, "N/A", None)], "chapter_id long, raw_lang string, translated_lang string")
     got = {(r["chapter_id"], r["field"]): r for r in language.texts_with_labels(chapters(spark, rows), labels, matrix).collect()}
     assert set(got) == {(i, "raw_text") for i in (1, 2, 4, 5, 6)}
