@@ -6,9 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reindexed(refs: DataFrame, group: str, *order: Column, name: str = "new_idx") -> DataFrame:
-    """A dense index from 0 in the given order."""
-    return refs.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("int"))
+def reindexed(refs: DataFrame, group: str, *order: Column, bucket: Column | None = None, name: str = "new_idx", start: int = 0) -> DataFrame:
+    """A dense index in the given order.
+
+    ``bucket`` (never null, and rising with the order) cuts a group into parts that are sorted on their own; sizes of the
+    parts before give each its offset. So no task sorts a whole group, however large one is."""
+    if bucket is None:
+        return refs.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1 + start).cast("int"))
+    parts = refs.withColumn("_bucket", bucket)
+    w = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy(group, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
+    return parts.withColumn("_rank", rank).join(before, [group, "_bucket"]).withColumn(name, (F.col("_rank") + F.col("_before") - 1 + start).cast("int")).drop("_bucket", "_rank", "_before")
+
+
+#: Numbers or ids that one part of a group spans.
+SPAN = 100_000
+
+
+def span(x: Column) -> Column:
+    """The part that a number belongs to; numbers that are missing come last."""
+    return F.coalesce(F.floor(x / SPAN), F.lit(1 << 60))
 
 
 def keep_first(refs: DataFrame, group: str, key: str, *order: Column) -> DataFrame:
@@ -33,7 +51,7 @@ def reversed_if_descending(refs: DataFrame, group: str, title: str, pos: str) ->
     number = F.nullif(F.regexp_extract(F.col(title), "[0-9]+", 0), F.lit("")).try_cast("bigint")
     ends = refs.groupBy(group).agg(F.min_by(number, pos).alias("_first"), F.max_by(number, pos).alias("_last"))
     key = F.when(F.coalesce(F.col("_first") > F.col("_last"), F.lit(False)), -F.col(pos)).otherwise(F.col(pos))
-    return reindexed(refs.join(ends, group), group, key).drop("_first", "_last")
+    return reindexed(refs.join(ends, group).withColumn("_key", key), group, F.col("_key"), bucket=span(F.col("_key"))).drop("_first", "_last", "_key")
 
 
 def until_nothing_new(links: DataFrame, group: str, page: str, key: str, most: int = 500) -> DataFrame:

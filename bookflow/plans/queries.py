@@ -99,8 +99,8 @@ def affected_counts(s, d):
 
 @query("SELECT novel_id, id AS chapter_id, idx, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) AS INT) AS place FROM cur WHERE status IN ('scraped', 'translating', 'failed')")
 def pending_translation(s, d):
-    w = Window.partitionBy("novel_id").orderBy("idx", "id")
-    return state.pending(chapters(s, d)).select("novel_id", F.col("id").alias("chapter_id"), "idx", F.row_number().over(w).alias("place"))
+    p = state.pending(chapters(s, d)).select("novel_id", F.col("id").alias("chapter_id"), "idx")
+    return refs.reindexed(p, "novel_id", F.col("idx"), F.col("chapter_id"), bucket=refs.span(F.col("idx")), name="place", start=1)
 
 
 @query("SELECT c.novel_id, c.idx, c.id AS chapter_id, r.source_url FROM cur c JOIN (SELECT novel_id, idx, min(source_url) AS source_url FROM cur GROUP BY novel_id, idx) r ON r.novel_id = c.novel_id AND r.idx = c.idx WHERE c.status IN ('pending', 'failed')")
@@ -124,7 +124,9 @@ BATCH = 5
 
 @query(f"SELECT novel_id, chapter_id, idx, CAST(place AS INT) AS place FROM (SELECT novel_id, id AS chapter_id, idx, row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) AS place FROM cur WHERE status IN ('scraped', 'translating', 'failed')) WHERE place <= {BATCH}")
 def schedule_topk(s, d):
-    return pending_translation(s, d).where(F.col("place") <= BATCH).select("novel_id", "chapter_id", "idx", "place")
+    p = state.pending(chapters(s, d)).select("novel_id", F.col("id").alias("chapter_id"), "idx")
+    # a limit by rank: each task keeps no more than the first BATCH of a book before anything is shuffled
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("novel_id").orderBy("idx", "chapter_id"))).where(F.col("place") <= BATCH)
 
 
 @query(f"SELECT n.id AS novel_id, least(count(c.id), {BATCH}) AS batch_size, count(c.id) = 0 AS already_complete FROM novel n LEFT JOIN cur c ON c.novel_id = n.id AND c.status IN ('scraped', 'translating', 'failed') GROUP BY n.id")
@@ -200,13 +202,13 @@ NUMBER = "CAST(nullif(regexp_extract(source_url, '/chapter-([0-9]+)(?:[/?#]|$)',
 @query(f"SELECT novel_id, id AS chapter_id, {NUMBER} AS number, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY {NUMBER} ASC NULLS LAST, id) - 1 AS INT) AS new_idx FROM cur")
 def chapter_ref_order(s, d):
     c = chapters(s, d).select("novel_id", F.col("id").alias("chapter_id"), U.chapter_number(F.col("source_url")).alias("number"))
-    return refs.reindexed(c, "novel_id", F.col("number").asc_nulls_last(), F.col("chapter_id"))
+    return refs.reindexed(c, "novel_id", F.col("number").asc_nulls_last(), F.col("chapter_id"), bucket=refs.span(F.col("number")))
 
 
 @query("SELECT novel_id, source_url, chapter_id, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY chapter_id) - 1 AS INT) AS new_idx FROM (SELECT novel_id, source_url, min(id) AS chapter_id FROM chapter GROUP BY novel_id, source_url)")
 def dedupe_keep_first(s, d):
     c = table(s, d, "chapter").select("novel_id", "source_url", F.col("id").alias("chapter_id"))
-    return refs.reindexed(refs.keep_first(c, "novel_id", "source_url", F.col("chapter_id")), "novel_id", F.col("chapter_id"))
+    return refs.reindexed(refs.keep_first(c, "novel_id", "source_url", F.col("chapter_id")), "novel_id", F.col("chapter_id"), bucket=refs.span(F.col("chapter_id")))
 
 
 @query("SELECT novel_id, source_url, arg_max(title, id) AS title, min(id) AS pos FROM (SELECT novel_id, source_url, id, max(title) AS title FROM chapter GROUP BY ALL) GROUP BY novel_id, source_url")
@@ -314,8 +316,8 @@ SELECT novel_id, id AS chapter_id, printf('text/chapter_%04d.xhtml', idx) AS fil
 def epub_chapters(s, d):
     """The chapters of each book's package: in order, with their file names and markup."""
     use = with_native(s, d).withColumn("text", state.effective_text(F.col("native"))).where("text is not null")
-    place = F.row_number().over(Window.partitionBy("novel_id").orderBy("idx", "id"))
-    return use.select("novel_id", F.col("id").alias("chapter_id"), X.chapter_file(F.col("idx")).alias("file_name"), place.alias("place"), "title", X.paragraphs(F.col("text")).alias("html"))
+    placed = refs.reindexed(use.select("novel_id", "id", "idx"), "novel_id", F.col("idx"), F.col("id"), bucket=refs.span(F.col("idx")), name="place", start=1).select("id", "place")
+    return use.join(placed, "id").select("novel_id", F.col("id").alias("chapter_id"), X.chapter_file(F.col("idx")).alias("file_name"), "place", "title", X.paragraphs(F.col("text")).alias("html"))
 
 
 @query(f"""WITH {CUR}, {NATIVE}, use AS (SELECT c.novel_id, c.id, c.idx, c.title FROM cur c JOIN native n ON n.id = novel_id WHERE coalesce({strip('translated_text')} <> '', false) OR (n.native AND coalesce({strip('raw_text')} <> '', false)))
