@@ -9,8 +9,8 @@ from __future__ import annotations
 import re
 from functools import cache
 
-#: A cheap test first: without one of these characters there is no slot.
-SLOT_HINT = re.compile(r"[{%@_\[<&]|undefined")
+#: A cheap test first: without one of these there is no slot.
+SLOT_HINTS = ("{", "%", "@@", "__", "[", "<", "&&", "undefined", "UNDEFINED", "Undefined")
 _WORD = r"[A-Za-z][A-Za-z0-9]*(?:[._-][A-Za-z0-9]+)*"
 SLOT = re.compile(
     "|".join(
@@ -154,7 +154,7 @@ def patterns() -> tuple[re.Pattern, ...]:
 
 
 def has_slot(text: str) -> bool:
-    return bool(SLOT_HINT.search(text)) and bool(SLOT.search(text))
+    return any(h in text for h in SLOT_HINTS) and bool(SLOT.search(text))
 
 
 #: How a line came by its label: a wording (others may be near it), or its vocabulary or a slot (no wording to be near to).
