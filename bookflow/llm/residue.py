@@ -1,9 +1,10 @@
 """Template residue, filler, error pages and script notices among chapters.
 
-Method: trusted rules label lines; every line of every chapter gets a SimHash of its five-word shingles; lines that are
-near-duplicates of labelled ones (found in partitioned SimHash tables, verified by Hamming distance and by the Jaccard
-similarity of the shingles, 0.8 or more) take the label over, and so on through the connected component. A chapter is
-residue if it has a slot or template code anywhere, or labelled lines beside no more than a short opening.
+Method: trusted rules label lines; every line of every chapter gets the set of its five-word shingles; lines whose sets
+have a Jaccard similarity of 0.8 or more with those of labelled ones take the label over, and so on through the connected
+component. The search is exact: two such sets always share one of their first shingles in the order of the hashes (the
+prefix), so lines are joined by the shingles of their prefixes and then compared. A chapter is residue if it has a slot
+or template code anywhere, or labelled lines beside no more than a short opening.
 
 Only components that hold a labelled line can change anything, so the search starts at the labelled lines and follows
 links until no new line is reached: the labels are those of the full components, and unlabelled components are never built.
@@ -15,7 +16,6 @@ whole; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,17 +30,14 @@ from bookflow.llm import residue_rules as R
 from bookflow.session import written
 
 SHINGLE = 5
-SIMILARITY = 0.8
-#: Sets of fewer shingles can't be alike by 0.8 unless they are equal, and equal lines have equal keys.
-LEAST_SHINGLES = 9
-#: Tables of the SimHash: each takes so many of the 64 bits. At a similarity of 0.8 about 10 bits differ; 24 tables of 12 bits then find 97 %.
-TABLES, TABLE_BITS, MAX_HAMMING = 24, 12, 18
-#: Bits of the filter of table codes that is sent to all tasks: a fixed 1 MB.
+#: Least Jaccard similarity of a link, as a fraction: sets of n shingles that have it share n - n // 5 at least.
+ALIKE, OF = 4, 5
+#: Bits of the filter of prefix shingles that is sent to all tasks: a fixed 1 MB.
 FILTER_BITS = 1 << 23
 #: Words beside the residue that a page may have: two or three sentences of opening and the site's own lines.
 MAX_OTHER_WORDS = 80
 
-LINES = "chapter_id long, line_no int, key long, sim long, n_words int, n_shingles int, trusted boolean, seed boolean, slot boolean, shingles binary"
+LINES = "chapter_id long, line_no int, key long, n_words int, n_shingles int, trusted boolean, seed boolean, slot boolean, shingles binary, codes array<int>"
 
 
 def _prepared(text: str) -> str:
@@ -68,7 +65,7 @@ def _hints():
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hints = _hints()
-    schema = pa.schema([("chapter_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("sim", pa.int64()), ("n_words", pa.int32()), ("n_shingles", pa.int32()), ("trusted", pa.bool_()), ("seed", pa.bool_()), ("slot", pa.bool_()), ("shingles", pa.binary())])
+    schema = pa.schema([("chapter_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("n_words", pa.int32()), ("n_shingles", pa.int32()), ("trusted", pa.bool_()), ("seed", pa.bool_()), ("slot", pa.bool_()), ("shingles", pa.binary()), ("codes", pa.list_(pa.int32()))])
     for batch in batches:
         for ids, texts in K.slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             yield from _lines_of(ids, texts, hints, schema)
@@ -114,72 +111,50 @@ def _lines_of(ids: list, texts: list[str], hints, schema: pa.Schema) -> Iterator
         for j, m in enumerate(K.multipliers(SHINGLE, 13)):
             sh += (words[at + j] + np.uint64(1)) * m
         sh = K.mix(sh)
-    n_sh = np.maximum(n_words - SHINGLE + 1, 0)
-    sim = np.zeros(len(first), np.uint64)
-    big = n_sh >= LEAST_SHINGLES
-    in_big = np.repeat(big, n_sh)
-    bsh, bn = sh[in_big], n_sh[big]
-    if len(bn):
-        bstart = np.concatenate(([0], np.cumsum(bn)[:-1]))
-        bits = np.unpackbits(bsh.view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, bstart, axis=0, dtype=np.int32)
-        sim[big] = np.packbits(votes * 2 > bn[:, None], axis=1).view(np.uint64).ravel()
+    # the set of each line: its different shingles, of 32 bits, in ascending order
+    of_line = np.repeat(np.arange(len(first), dtype=np.uint64), np.maximum(n_words - SHINGLE + 1, 0))
+    both = np.sort(of_line << np.uint64(32) | sh & np.uint64(0xFFFFFFFF))
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    of_line = (both >> np.uint64(32)).astype(np.int64)
+    packed = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    n_sh = np.bincount(of_line, minlength=len(first))
+    ends = np.concatenate(([0], np.cumsum(n_sh)))
+    n_codes = np.where(n_sh > 0, n_sh * (OF - ALIKE) // OF + 1, 0)
+    prefix = packed[np.arange(len(packed)) - ends[of_line] < n_codes[of_line]]
 
     doc = np.searchsorted(starts, ws[first], side="right") - 1
     number = line[first] - breaks[starts[doc]]
     pairs = list(zip(doc.tolist(), number.tolist())) if trusted else []
-    kept = np.where(big, n_sh, 0)
-    ends = np.concatenate(([0], np.cumsum(kept * 4))).astype(np.int32)
-    packed = (bsh & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    lists = pa.BinaryArray.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])
+    lists = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+    codes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_codes))).astype(np.int32)), pa.array(prefix.view(np.int32)))
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(np.asarray(ids, np.int64)[doc]),
             pa.array(number.astype(np.int32)),
             pa.array(key.view(np.int64)),
-            pa.array(sim.view(np.int64)),
             pa.array(n_words.astype(np.int32)),
             pa.array(n_sh.astype(np.int32)),
             pa.array([p in trusted for p in pairs], pa.bool_()) if trusted else pa.array(np.zeros(len(doc), bool)),
             pa.array([p in seeds for p in pairs], pa.bool_()) if seeds else pa.array(np.zeros(len(doc), bool)),
             pa.array(slot[doc]),
             lists,
+            codes,
         ],
         schema=schema,
     )
 
 
 def line_table(chapters: DataFrame, key: str = "id", text: str = "raw_text") -> DataFrame:
-    """One row per line that has words, with its key, SimHash, shingles and trusted label, written to the shared folder."""
+    """One row per line that has words, with its key, shingles, prefix and trusted label, written to the shared folder."""
     narrow = chapters.select(F.col(key).cast("long").alias("chapter_id"), F.col(text).alias("text")).where("chapter_id is not null and text is not null")
     return written(narrow.mapInArrow(_lines, LINES), "residue-lines")
 
 
-def _masks() -> list[int]:
-    rng = np.random.default_rng(5)
-    out = []
-    for _ in range(TABLES):
-        m = 0
-        for b in rng.choice(64, TABLE_BITS, replace=False):
-            m |= 1 << int(b)
-        out.append(m - (1 << 64) if m >> 63 else m)
-    return out
-
-
-def _codes(spread: int) -> Column:
-    """Table codes of a line: number of the table, the bits it takes, and the class of the line's length.
-
-    Sets alike by 0.8 differ in size by a factor of 1.25 at most, so their classes are equal or neighbours."""
-    size = F.floor(F.log(F.col("n_shingles")) / math.log(1 / SIMILARITY)).cast("int")
-    each = [F.xxhash64(F.lit(i), F.col("sim").bitwiseAND(F.lit(m)), size + F.lit(d)) for i, m in enumerate(_masks()) for d in range(-spread, spread + 1)]
-    return F.array(*each)
-
-
 def _filter(frontier: DataFrame) -> Callable[[Column], Column]:
-    """A test of a code against a fixed-size bitmap of the frontier's codes."""
+    """A test of a prefix shingle against a fixed-size bitmap of the frontier's."""
     slot = F.pmod(F.col("code"), F.lit(FILTER_BITS))
     rows = (
-        frontier.select(F.explode(_codes(1)).alias("code"))
+        frontier.select(F.explode("codes").alias("code"))
         .groupBy(F.shiftright(slot, 6).cast("int").alias("at"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
         .collect()  # at most FILTER_BITS / 64 rows, whatever the size of the data
@@ -192,39 +167,40 @@ def _filter(frontier: DataFrame) -> Callable[[Column], Column]:
 
 
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether two sets of shingles are alike by SIMILARITY (Jaccard)."""
+    """Whether two sets of shingles have a Jaccard similarity of ALIKE / OF or more."""
     sets = ((set(np.frombuffer(x, np.uint32).tolist()), set(np.frombuffer(y, np.uint32).tolist())) for x, y in zip(a, b))
-    return pd.Series([len(x & y) >= SIMILARITY * len(x | y) for x, y in sets], dtype=bool)
+    return pd.Series([OF * len(x & y) >= ALIKE * len(x | y) for x, y in sets], dtype=bool)
 
 
 def propagated(lines: DataFrame) -> DataFrame:
     """Keys of lines that a chain of near-duplicates joins to a trusted line, the trusted ones included."""
-    known = written(lines.groupBy("key").agg(F.max("trusted").alias("trusted"), F.max("seed").alias("seed"), F.max("n_shingles").alias("n_shingles"), F.max("sim").alias("sim")).where("trusted"), "residue-keys")
+    known = written(lines.groupBy("key").agg(F.max("trusted").alias("trusted"), F.max("seed").alias("seed"), F.max("n_shingles").alias("n_shingles"), F.first("codes").alias("codes")).where("trusted"), "residue-keys")
     found = [known.select("key")]
-    frontier = known.where(F.col("seed") & (F.col("n_shingles") >= LEAST_SHINGLES)).select("key", "sim", "n_shingles")
-    index = lines.where(F.col("n_shingles") >= LEAST_SHINGLES)
+    frontier = known.where(F.col("seed") & (F.col("n_shingles") > 0)).select("key", "n_shingles", "codes")
+    index = lines.where(F.col("n_shingles") > 0)
+    sizes = (F.col("n_shingles") * OF >= F.col("from_shingles") * ALIKE) & (F.col("from_shingles") * OF >= F.col("n_shingles") * ALIKE)
     while frontier.limit(1).count():
         passes = _filter(frontier)
         near = (
-            index.select("key", "sim", "n_shingles", F.filter(_codes(0), passes).alias("codes"))
+            index.select("key", "n_shingles", F.filter("codes", passes).alias("codes"))
             .where(F.size("codes") > 0)
             .groupBy("key")
-            .agg(F.first("sim").alias("sim"), F.first("codes").alias("codes"))
-            .select("key", "sim", F.explode("codes").alias("code"))
+            .agg(F.first("n_shingles").alias("n_shingles"), F.first("codes").alias("codes"))
+            .select("key", "n_shingles", F.explode("codes").alias("code"))
         )
-        start = frontier.select(F.col("key").alias("from_key"), F.col("sim").alias("from_sim"), F.explode(_codes(1)).alias("code"))
-        pairs = near.join(start, "code").where((F.col("key") != F.col("from_key")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("from_sim"))) <= MAX_HAMMING)).select("key", "from_key").distinct()
+        start = frontier.select(F.col("key").alias("from_key"), F.col("n_shingles").alias("from_shingles"), F.explode("codes").alias("code"))
+        pairs = near.join(start, "code").where((F.col("key") != F.col("from_key")) & sizes).select("key", "from_key").distinct()
         for f in found:
             pairs = pairs.join(f, "key", "left_anti")
         pairs = written(pairs, "residue-pairs")
         if not pairs.limit(1).count():
             break
         linked = (
-            pairs.join(index.join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("sim").alias("sim"), F.first("n_shingles").alias("n_shingles")), "key")
+            pairs.join(index.join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"), F.first("codes").alias("codes"), F.first("n_shingles").alias("n_shingles")), "key")
             .join(index.select(F.col("key").alias("from_key"), "shingles").join(pairs.select("from_key").distinct(), "from_key", "left_semi").groupBy("from_key").agg(F.first("shingles").alias("from_shingles")), "from_key")
             .where(F.pandas_udf(_alike, T.BooleanType())("shingles", "from_shingles"))
         )
-        frontier = written(linked.groupBy("key").agg(F.first("sim").alias("sim"), F.first("n_shingles").alias("n_shingles")), "residue-frontier")
+        frontier = written(linked.groupBy("key").agg(F.first("codes").alias("codes"), F.first("n_shingles").alias("n_shingles")), "residue-frontier")
         found.append(frontier.select("key"))
     out = found[0]
     for f in found[1:]:

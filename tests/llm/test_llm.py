@@ -81,6 +81,13 @@ def test_residue_chapters(spark):
     assert residue.residue_chapters(chapters(spark, [])).count() == 0
 
 
+def test_residue_of_short_lines(spark):
+    notice = "Your session has expired, code 336. Reload this page."
+    eight = "Your session has expired, please sign in again."
+    rows = [(1, 1, notice, None), (2, 1, "Notice: " + notice, None), (3, 1, eight, None), (4, 1, "Sorry " + eight, None), (5, 1, "Sorry, they said, " + eight, None)]
+    assert sorted(r["chapter_id"] for r in residue.residue_chapters(chapters(spark, rows)).collect()) == [1, 2, 3, 4]
+
+
 # ---- p2 -------------------------------------------------------------------------------------------------------------
 
 
