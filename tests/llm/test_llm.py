@@ -207,6 +207,40 @@ def test_paths_are_best():
         assert abs(mine - best(d, n[d], m[d])) < 1e-4
 
 
+def _two_sides(n, kept):
+    """Vectors and lengths of n sentences, and of the translations of those kept, with some noise."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(n, alignment.DIMENSIONS)).astype(np.float32)
+    b = a[kept] + 0.5 * rng.normal(size=(len(kept), alignment.DIMENSIONS)).astype(np.float32)
+    x = rng.integers(30, 90, n).astype(np.float32)
+    return a, b, x, (0.8 * x[kept]).astype(np.float32)
+
+
+def _side(chars):
+    return alignment._Side([np.arange(len(chars), dtype=np.uint16).tobytes()], [np.ones(len(chars), np.uint32).tobytes()], [chars.astype(np.uint32).tobytes()])
+
+
+@pytest.mark.parametrize("kept", [list(range(8)), list(range(7)), list(range(95, 103)), list(range(50)), list(range(0, 103, 9)), list(range(20)) + list(range(80, 103))])
+@pytest.mark.parametrize("n", [103, 400])
+def test_alignment_of_a_part(n, kept):
+    a, b, x, y = _two_sides(n, kept)
+    got = alignment._pairs(_side(x), _side(y), a, b)
+    assert {(int(i), int(j)) for _, i, j in got} == {(i, j) for j, i in enumerate(kept)}
+
+
+def test_long_documents_like_short_ones():
+    """Blocks of rows give the pairs that one table gives: omissions, a merge, a split, an exchange of two passages."""
+    kept = [i for i in range(120) if i % 11]
+    kept[10:20], kept[80:85] = kept[80:85] + kept[15:20], kept[10:15]
+    a, b, x, y = _two_sides(120, kept)
+    b[40] += b[41]
+    y[40] += y[41]
+    b, y = np.delete(b, 41, axis=0), np.delete(y, 41)
+    whole = {tuple(map(int, r)) for r in alignment._pairs(_side(x), _side(y), a, b)}
+    for cells in (1, 500, 3000, 10**6):
+        assert {tuple(map(int, r)) for r in alignment._long_pairs(a, b, x, y, cells)} == whole
+
+
 # ---- p6 -------------------------------------------------------------------------------------------------------------
 
 
