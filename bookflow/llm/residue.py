@@ -72,7 +72,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lines_of(ids: list, texts: list[str], hints, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    slot = np.fromiter((R.has_slot(t) for t in texts), bool, len(texts))
+    slots = [i for i, t in zip(ids, texts) if R.has_slot(t)]
+    if slots:  # a row of its own, since such a text may hold no word
+        n = len(slots)
+        no, zero = pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.int64()), zero, zero, no, no, pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
     trusted: set[tuple[int, int]] = set()
     seeds: set[tuple[int, int]] = set()
     for i, t in enumerate(texts):
@@ -136,7 +140,7 @@ def _lines_of(ids: list, texts: list[str], hints, schema: pa.Schema) -> Iterator
             pa.array(n_sh.astype(np.int32)),
             pa.array([p in trusted for p in pairs], pa.bool_()) if trusted else pa.array(np.zeros(len(doc), bool)),
             pa.array([p in seeds for p in pairs], pa.bool_()) if seeds else pa.array(np.zeros(len(doc), bool)),
-            pa.array(slot[doc]),
+            pa.array(np.zeros(len(doc), bool)),
             lists,
             codes,
         ],
@@ -145,7 +149,7 @@ def _lines_of(ids: list, texts: list[str], hints, schema: pa.Schema) -> Iterator
 
 
 def line_table(chapters: DataFrame, key: str = "id", text: str = "raw_text") -> DataFrame:
-    """One row per line that has words, with its key, shingles, prefix and trusted label, written to the shared folder."""
+    """One row per line that has words, with its key, shingles, prefix and trusted label, and one, numbered -1, per text with a slot; written to the shared folder."""
     narrow = chapters.select(F.col(key).cast("long").alias("chapter_id"), F.col(text).alias("text")).where("chapter_id is not null and text is not null")
     return written(narrow.mapInArrow(_lines, LINES), "residue-lines")
 

@@ -88,6 +88,11 @@ def test_residue_of_short_lines(spark):
     assert sorted(r["chapter_id"] for r in residue.residue_chapters(chapters(spark, rows)).collect()) == [1, 2, 3, 4]
 
 
+def test_residue_of_slots_without_words(spark):
+    rows = [(1, 1, "{{ }}", None), (2, 1, "{%%}", None), (3, 1, "...", None), (4, 1, "Ann slept.\n{{ }}", None)]
+    assert sorted(r["chapter_id"] for r in residue.residue_chapters(chapters(spark, rows)).collect()) == [1, 2, 4]
+
+
 # ---- p2 -------------------------------------------------------------------------------------------------------------
 
 
