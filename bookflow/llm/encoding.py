@@ -102,39 +102,42 @@ def merged(piece: Column, rank) -> Column:
     return F.transform(folded["p"], rank)
 
 
-def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: Vocabulary | None = None) -> DataFrame:
-    """(key, ids) of every row: the ids of its text."""
+def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: Vocabulary | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, ids) of every row: the ids of its text. Rows of one key, or without one, stay apart."""
     vocabulary = vocabulary or Vocabulary(documents.sparkSession)
     listed = F.array().cast("array<string>")
-    split = documents.select(F.col(key), F.coalesce(F.when(F.col(text) != "", pieces(F.col(text))), listed).alias("words"))
+    split = documents.select(F.col(key), *keep, F.coalesce(F.when(F.col(text) != "", pieces(F.col(text))), listed).alias("words"))
     known = split.select(
         key,
+        *keep,
         vocabulary.bound(lambda rank: F.transform("words", lambda w, i: _let(as_bytes(w), lambda b: F.struct(i.alias("at"), rank(b).alias("id"), b.alias("piece"))))).alias("words"),
     ).select(
         key,
+        *keep,
+        F.monotonically_increasing_id().alias("row"),  # fixed by writing the table
         F.transform(F.filter("words", lambda x: x["id"].isNotNull()), lambda x: F.struct(x["at"], F.array(x["id"]).alias("ids"))).alias("known"),
         F.transform(F.filter("words", lambda x: x["id"].isNull()), lambda x: F.struct(x["at"], x["piece"])).alias("rest"),
     )
     known = written(known, "pieces")
-    rest = known.select(key, F.explode("rest").alias("x")).select(key, "x.at", "x.piece")
+    rest = known.select("row", F.explode("rest").alias("x")).select("row", "x.at", "x.piece")
     distinct = written(rest.groupBy("piece").agg(F.count("*").alias("n")).repartition("piece").select("piece", "n", vocabulary.bound(lambda rank: merged(F.col("piece"), rank)).alias("ids")), "merged")
     total = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot = distinct.where(F.col("n") > F.lit(HOT) * F.lit(total)).select("piece", F.col("ids").alias("hot_ids"))
     cold = distinct.where(F.col("n") <= F.lit(HOT) * F.lit(total)).select(F.col("piece").alias("join_piece"), F.col("ids").alias("cold_ids"))
     # pieces already resolved get a key that matches nothing, spread so that they don't meet in one task
-    spread = F.concat(F.lit("Ā"), F.pmod(F.xxhash64(key, "at"), F.lit(10_000)).cast("string"))
+    spread = F.concat(F.lit("Ā"), F.pmod(F.xxhash64("row", "at"), F.lit(10_000)).cast("string"))
     joined = (
         rest.join(F.broadcast(hot), "piece", "left")
         .withColumn("join_piece", F.when(F.col("hot_ids").isNull(), F.col("piece")).otherwise(spread))
         .join(cold, "join_piece", "left")
-        .groupBy(key)
+        .groupBy("row")
         .agg(F.collect_list(F.struct("at", F.coalesce("hot_ids", "cold_ids").alias("ids"))).alias("found"))
     )
     none = F.array().cast("array<struct<at:int,ids:array<int>>>")
     return (
-        known.select(key, "known")
-        .join(joined, key, "left")
-        .select(key, F.flatten(F.transform(F.array_sort(F.concat("known", F.coalesce("found", none))), lambda x: x["ids"])).alias("ids"))
+        known.select(key, *keep, "row", "known")
+        .join(joined, "row", "left")
+        .select(key, *keep, F.flatten(F.transform(F.array_sort(F.concat("known", F.coalesce("found", none))), lambda x: x["ids"])).alias("ids"))
     )
 
 
@@ -146,5 +149,4 @@ def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
 def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, same): whether decoding the ids gives the text back."""
     vocabulary = Vocabulary(documents.sparkSession)
-    ids = encoded(documents, key, text, vocabulary)
-    return documents.select(key, text).join(ids, key).select(key, F.size("ids").alias("n_tokens"), (decoded(F.col("ids"), vocabulary) == F.coalesce(F.col(text), F.lit(""))).alias("same"))
+    return encoded(documents, key, text, vocabulary, (text,)).select(key, F.size("ids").alias("n_tokens"), (decoded(F.col("ids"), vocabulary) == F.coalesce(F.col(text), F.lit(""))).alias("same"))

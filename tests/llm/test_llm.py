@@ -262,6 +262,16 @@ def test_encoding(spark):
     assert encoding.encoded(df.limit(0)).count() == 0
 
 
+def test_encoding_of_null_and_repeated_ids(spark):
+    texts = ["zqxvbk jjwqz", "qqzzxxv", "zqxvbk 🙂é́"]
+    schema = "doc_id long, text string"
+    alone = {t: encoding.encoded(spark.createDataFrame([(1, t)], schema)).first()["ids"] for t in texts}
+    df = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[1]), (7, texts[2]), (7, texts[2])], schema)
+    got = sorted((r["doc_id"] or 0, r["ids"]) for r in encoding.encoded(df).collect())
+    assert got == sorted([(0, alone[texts[0]]), (0, alone[texts[1]]), (7, alone[texts[1]]), (7, alone[texts[2]]), (7, alone[texts[2]])])
+    assert [r["same"] for r in encoding.round_trip(df).collect()] == [True] * 5
+
+
 # ---- p7 -------------------------------------------------------------------------------------------------------------
 
 
