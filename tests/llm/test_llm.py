@@ -93,6 +93,28 @@ def test_residue_of_slots_without_words(spark):
     assert sorted(r["chapter_id"] for r in residue.residue_chapters(chapters(spark, rows)).collect()) == [1, 2, 4]
 
 
+def test_residue_links_like_brute_force(spark):
+    """No pair of lines at a similarity of 0.8 or more is missed, and none below it is linked, whatever their length."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+    texts = []
+    for _ in range(150):
+        line = ["your", "session", "has", "expired"] + [word() for _ in range(rng.randrange(4, 40))]
+        other = list(line)
+        for _ in range(rng.randrange(1, 4)):
+            other.insert(0, word()) if rng.random() < 0.7 else other.pop()
+        texts += [line, ["sorry"] + other]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    linked = {i for i, t in enumerate(texts) if t[0] == "your"}
+    new = set(linked)
+    while new:
+        new = {j for j in range(len(texts)) if j not in linked and any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i in new)}
+        linked |= new
+    assert 180 < len(linked) < len(texts)
+    got = residue.residue_chapters(chapters(spark, [(i, 1, " ".join(t), None) for i, t in enumerate(texts)]))
+    assert {r["chapter_id"] for r in got.collect()} == linked
+
+
 # ---- p2 -------------------------------------------------------------------------------------------------------------
 
 
