@@ -347,3 +347,27 @@ def test_quality(spark, data):
     assert [got[i] for i in range(100_001, 100_004)] == [None] * 3
     assert all(got[i] in ("list", "table", "junk") for i in range(100_004, 100_008)) and got[100_008] == "prose"
     assert quality.classified(df.limit(0)).count() == 0
+
+
+def test_quality_of_lists_of_names(spark, data):
+    """Names stand in sentences too: lists of them, in several forms and scripts, are still found, and short prose with many names is not."""
+    from pathlib import Path
+
+    from bookflow.session import table
+
+    rng = random.Random(9)
+    names = {
+        "en": ["Rudvik", "Selka", "Tolmek", "Han Seolu", "Pao Ren", "Mirelle", "Korvan", "the iron lamp", "Tavrin", "Orlen", "the old map"],
+        "ar": ["رودفيك", "سيلكا", "تولميك", "هان سيولو", "باو رن", "ميريل", "كورفان", "المصباح الحديدي", "تافرين", "أورلن"],
+        "zh": ["塞尔卡", "托尔梅克", "韩雪露", "鲍仁", "米蕾尔", "科尔万", "铁灯", "塔夫林", "奥伦"],
+    }
+    forms = [lambda x: "\n".join(f"* {n}" for n in x), lambda x: "\n".join(x), lambda x: " | ".join(x), lambda x: ", ".join(x), lambda x: "\n".join(f"{i}. {n} ({x[0]})" for i, n in enumerate(x, 1))]
+    lists = [form([rng.choice(n) for _ in range(rng.randrange(9, 30))]) for n in names.values() for form in forms for _ in range(4)]
+    prose = ["Rudvik and Selka waited 9 days in Tavrin. Korvan carried the iron lamp to Orlen.", "باع كورفان المصباح الحديدي مقابل 21 قطعة نقدية. حمل رودفيك المصباح الحديدي إلى تافرين.", "塞尔卡终于突破到第98阶。韩雪露带着铁灯去了塔恩。", "Korvan trug die alte Karte nach Tavrin. Niemand in Orlen glaubte Selka."] * 5
+    folder = str(Path(data).parent / "sf0.01")
+    base = [(r["doc_id"], r["text"]) for r in table(spark, folder, "documents").select("doc_id", "text").collect()]
+    df = spark.createDataFrame(base + [(10**6 + i, t) for i, t in enumerate(lists + prose)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["kind"] for r in quality.classified(df).where(f"doc_id >= {10**6}").collect()}
+    found = sum(got[10**6 + i] != "prose" for i in range(len(lists)))
+    assert found >= 0.9 * len(lists)
+    assert sum(got[10**6 + len(lists) + i] == "prose" for i in range(len(prose))) >= 0.9 * len(prose)
