@@ -217,21 +217,47 @@ def test_alignment(spark):
     assert alignment.aligned(chapters(spark, [])).count() == 0
 
 
-def test_paths_are_best():
-    """The diagonal-wise paths have the score that plain recursion finds."""
+@pytest.mark.parametrize("documents", [1, 3])
+def test_paths_are_best(documents):
+    """The paths have the score that plain recursion finds, whether all cells may begin a bead or some, in one table or in blocks of rows."""
     rng = np.random.default_rng(1)
-    n, m = np.array([3, 4, 1]), np.array([4, 2, 3])
-    gains = {(1, 1): rng.normal(size=(4, 4, 3)).astype(np.float32), (2, 1): rng.normal(size=(3, 4, 3)).astype(np.float32), (1, 2): rng.normal(size=(4, 3, 3)).astype(np.float32)}
-    rows = alignment._align(gains, n, m)
-
-    def best(d, i, j, memo={}):
-        if (i, j) == (0, 0):
+    n, m = np.array([7, 4, 1])[:documents], np.array([5, 2, 3])[:documents]
+    size = {(1, 1): (7, 5), (2, 1): (6, 5), (1, 2): (7, 4)}
+    gains = [rng.normal(size=(*size[b], documents)).astype(np.float32) for b in alignment.BEADS]
+    cells = [np.argwhere(g > 0) for g in gains]
+    i, j, d = (np.concatenate([c[:, k] for c in cells]) for k in range(3))
+    bead = np.repeat(np.arange(3), [len(c) for c in cells])
+    some = alignment._Some(d, i, j, bead, np.concatenate([g[g > 0] for g in gains]), 7, documents)
+    ways = [alignment._paths(n, m, alignment._by_gains(gains)), alignment._paths(n, m, some)]
+    if documents == 1:
+        ways += [alignment._long_path(7, 5, lambda p, high: lambda i, *rest: alignment._by_gains([g[p:high] for g in gains])(i - p, *rest), cells) for cells in (1, 12, 1000)]
+
+    def best(d, i, j):
+        if i == 0 or j == 0:
             return 0.0
-        return max(best(d, i - a, j - b) + (gains[a, b][i - a, j - b, d] if (a, b) in gains else 0) for a, b in alignment.BEADS if i >= a and j >= b)
+        ends = [best(d, i - a, j - b) + g[i - a, j - b, d] for (a, b), g in zip(alignment.BEADS, gains) if i >= a and j >= b]
+        return max(best(d, i - 1, j), best(d, i, j - 1), *ends)
+
+    for rows in ways:
+        for x in range(documents):
+            assert abs(sum(gains[b][i, j, dd] for dd, i, j, b in rows if dd == x) - best(x, n[x], m[x])) < 1e-4
+
+
+def test_length_model():
+    """Ratio and variance of each pair of languages come from the lengths themselves."""
+    import pyarrow as pa
 
-    for d in range(3):
-        mine = sum(gains[alignment.BEADS[b]][i, j, d] if alignment.BEADS[b] in gains else 0 for dd, i, j, b in rows if dd == d)
-        assert abs(mine - best(d, n[d], m[d])) < 1e-4
+    rng = np.random.default_rng(6)
+    rows = []
+    for pair, ratio in ((0, 0.8), (9, 2.5)):
+        for _ in range(300):
+            x = rng.integers(20, 120, 12)
+            y = np.maximum(ratio * x + rng.normal(size=12) * np.sqrt(3.0 * x), 1)
+            rows.append((pair, x.astype(np.uint32).tobytes(), y.round().astype(np.uint32).tobytes()))
+    rows.append((0, b"", np.uint32(7).tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["pair", "x", "y"])
+    got = {p: alignment._estimated(*v) for p, *v in zip(*(c.to_pylist() for c in next(alignment._length_sums(iter([batch]))).columns))}
+    assert abs(got[0][0] - 0.8) < 0.03 and abs(got[9][0] - 2.5) < 0.05 and all(2.5 < v < 3.6 for _, v in got.values())
 
 
 def _two_sides(n, kept):
@@ -251,7 +277,7 @@ def _side(chars):
 @pytest.mark.parametrize("n", [103, 400])
 def test_alignment_of_a_part(n, kept):
     a, b, x, y = _two_sides(n, kept)
-    got = alignment._pairs(_side(x), _side(y), a, b)
+    got = alignment._pairs(_side(x), _side(y), a, b, np.zeros(1, int), alignment._Model([]))
     assert {(int(i), int(j)) for _, i, j in got} == {(i, j) for j, i in enumerate(kept)}
 
 
@@ -263,9 +289,9 @@ def test_long_documents_like_short_ones():
     b[40] += b[41]
     y[40] += y[41]
     b, y = np.delete(b, 41, axis=0), np.delete(y, 41)
-    whole = {tuple(map(int, r)) for r in alignment._pairs(_side(x), _side(y), a, b)}
+    whole = {tuple(map(int, r)) for r in alignment._pairs(_side(x), _side(y), a, b, np.zeros(1, int), alignment._Model([]))}
     for cells in (1, 500, 3000, 10**6):
-        assert {tuple(map(int, r)) for r in alignment._long_pairs(a, b, x, y, cells)} == whole
+        assert {tuple(map(int, r)) for r in alignment._long_pairs(a, b, x, y, np.float32([alignment.RATIO]), np.float32([alignment.VARIANCE]), cells)} == whole
 
 
 # ---- p6 -------------------------------------------------------------------------------------------------------------
