@@ -12,10 +12,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+from urllib.parse import urljoin, urlparse
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookflow.functions.urls import CHAPTER
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 HIDDEN = frozenset(("script", "style", "noscript", "template"))
@@ -27,6 +31,13 @@ class Node:
     attrs: dict[str, str]
     parent: Node | None = None
     children: list[Node | str] = field(default_factory=list)
+    order: list[Node] | None = None
+
+    def nodes(self) -> list[Node]:
+        """All nodes below in document order; kept, since every selector goes through them."""
+        if self.order is None:
+            self.order = list(self.walk())
+        return self.order
 
     def walk(self) -> Iterator[Node]:
         stack = [c for c in reversed(self.children) if isinstance(c, Node)]
@@ -110,7 +121,7 @@ def _matches(node: Node, compound: str) -> bool:
 def select(root: Node, selector: str) -> Iterator[Node]:
     """Nodes that one selector (without commas) finds, in document order."""
     parts = selector.split()
-    for n in root.walk() if parts else ():
+    for n in root.nodes() if parts else ():
         if not _matches(n, parts[-1]):
             continue
         up, rest = n.parent, parts[:-1]
@@ -143,9 +154,9 @@ def first_attribute(root: Node, selectors: str | None, name: str) -> str | None:
     return None
 
 
-def links(root: Node, selectors: str | None) -> list[tuple[str, str]]:
-    """(text, href) of all selectors' links, one selector after the other, duplicates kept."""
-    return [(n.text(), n.attrs["href"]) for s in by_priority(selectors) for n in select(root, s) if n.attrs.get("href")]
+def links(root: Node, selectors: str | None, base_url: str | None = None) -> list[tuple[str, str]]:
+    """(text, href) of all selectors' links, one selector after the other, duplicates kept; made absolute if a base is given."""
+    return [(n.text(), urljoin(base_url, n.attrs["href"]) if base_url else n.attrs["href"]) for s in by_priority(selectors) for n in select(root, s) if n.attrs.get("href")]
 
 
 def body(root: Node, selectors: str | None) -> str:
@@ -179,26 +190,99 @@ def has_ancestor_class(node: Node, tokens: tuple[str, ...]) -> bool:
     return False
 
 
-RESULT = "title string, cover_url string, body string, refs array<struct<pos:int,text:string,href:string>>"
-WIDGETS = ("latest", "recent", "widget")
+RESULT = "title string, author string, cover_url string, description string, genres array<string>, body string, refs array<struct<pos:int,href:string,titles:array<string>>>"
+#: Parts of the classes of lists that only repeat the latest chapters, and where lists of chapters stand (fixed values).
+WIDGETS = ("toc-latest-row", "toc-latest-list", "latest-release", "latest-list")
+CONTAINERS = (".table-of-content", "[class*='table-of-content']", "[class*='toc-list']", "[class*='chapter-list']")
+_CHAPTER = re.compile(CHAPTER)
+#: Characters of a paragraph that describes a book.
+DESCRIBING = 60
+
+
+def chapter_address(href: str, page_url: str | None) -> str | None:
+    """The address of a chapter of the page's book, made absolute; None for any other link. Without the page's own address only the chapter's number is asked for."""
+    if not _CHAPTER.search(href):
+        return None
+    if not page_url:
+        return href
+    full, page = urlparse(urljoin(page_url, href)), urlparse(page_url)
+    if full.netloc != page.netloc or not full.path.rstrip("/").startswith(page.path.rstrip("/")):
+        return None
+    return full.geturl()
+
+
+def chapter_references(root: Node, selectors: str | None, page_url: str | None = None) -> list[dict]:
+    """References to chapters, each address once where it is first seen, with all texts that its links offer as titles.
+
+    Three tiers: what the configured selectors find (links, or links within), links in containers known to list chapters,
+    and, if there is none so far, any link to a chapter; the latter two without links in lists of the latest ones."""
+    found: dict[str, list[str]] = {}
+
+    def consider(a: Node) -> None:
+        url = chapter_address(a.attrs.get("href") or "", page_url)
+        if url:
+            found.setdefault(url, []).extend(t for t in (a.text(), *(s.text() for s in select(a, "span"))) if t)
+
+    links = "a[href*='/chapter-']"
+    for s in by_priority(selectors):
+        for n in select(root, s):
+            for a in [n] if n.attrs.get("href") else select(n, links):
+                consider(a)
+    for s in CONTAINERS:
+        for n in select(root, s):
+            if not any(t in n.attrs.get("class", "").lower() for t in WIDGETS):
+                for a in select(n, links):
+                    if not has_ancestor_class(a, WIDGETS):
+                        consider(a)
+    if not found:
+        for a in select(root, links):
+            if not has_ancestor_class(a, WIDGETS):
+                consider(a)
+    return [{"pos": i, "href": u, "titles": t} for i, (u, t) in enumerate(found.items())]
+
+
+def metadata(root: Node, selectors: dict[str, str], page_url: str | None = None) -> dict:
+    """A book's title, author, cover, description and genres, each with its fallbacks."""
+    title = first_text(root, selectors.get("novel_title")) or "Unknown Title"
+    author = first_text(root, selectors.get("novel_author"))
+    if author and author.lower().startswith("author:"):
+        author = author[7:].strip()
+    if not author:  # the customary words of an Arabic description; every letter may stand in a name
+        said = re.search(r"المؤلف\s+(.+?)\s+على", first_attribute(root, "meta[name=description]", "content") or "")
+        author = said[1].strip() if said else None
+    images = list(select(root, "img"))
+    cover = first_attribute(root, selectors.get("novel_cover"), "src") or first_attribute(root, selectors.get("novel_cover"), "data-src") or first_attribute(root, "meta[property='og:image']", "content")
+    cover = cover or next((n.attrs["src"] for n in images if n.attrs.get("alt") == title and n.attrs.get("src")), None)
+    cover = cover or next((n.attrs["src"] for n in images if "serie" in n.attrs.get("src", "")), None)
+    description = first_text(root, selectors.get("novel_description"))
+    if description and description.lower().startswith("summary"):
+        description = description[7:].strip()
+    if not description:
+        panel = next(select(root, "[role=tabpanel]"), None)
+        description = next((t for t in (p.text() for p in (select(panel, "p") if panel else ())) if len(t) > DESCRIBING), None)
+    genres = list(dict.fromkeys(t for t in (n.text() for n in select(root, "span.capitalize")) if t and t not in ("Male", "Female")))
+    return {"title": title, "author": author or None, "cover_url": urljoin(page_url, cover) if cover and page_url else cover, "description": description, "genres": genres}
+
+
+def chapter_text(root: Node, selectors: str | None) -> str:
+    """The configured body, else the longest paragraphs of any container, else the text of what usually holds a chapter."""
+    return body(root, selectors) or longest_paragraphs(root) or first_text(root, ".chapter-content, .story-part, article, main") or ""
 
 
 def extracted(pages: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Each page parsed once: its title, cover, body and references by its site's selectors.
+    """Each page parsed once: metadata, body and references by its site's selectors.
 
-    ``pages``: page_id, site_id, html. ``selectors``: site_id, selectors (a small configuration table)."""
-    each = pages.select("page_id", "site_id", "html").join(selectors.select("site_id", "selectors"), "site_id", "left")
+    ``pages``: page_id, site_id, html and, if known, page_url. ``selectors``: site_id, selectors (a small configuration table)."""
+    url = F.col("page_url") if "page_url" in pages.columns else F.lit(None).cast("string")
+    each = pages.select("page_id", "site_id", "html", url.alias("page_url")).join(selectors.select("site_id", "selectors"), "site_id", "left")
 
     @F.pandas_udf(RESULT)
-    def run(html: pd.Series, chosen: pd.Series) -> pd.DataFrame:
+    def run(html: pd.Series, urls: pd.Series, chosen: pd.Series) -> pd.DataFrame:
         rows = []
-        for page, s in zip(html, chosen):
+        for page, at, s in zip(html, urls, chosen):
             s = dict(s) if s is not None else {}
             root = parse(page)
-            found = [n for sel in by_priority(s.get("chapter_list")) for n in select(root, sel) if n.attrs.get("href") and not has_ancestor_class(n, WIDGETS)]
-            text = body(root, s.get("chapter_text")) or longest_paragraphs(root)
-            refs = [{"pos": i, "text": n.text(), "href": n.attrs["href"]} for i, n in enumerate(found)]
-            rows.append((first_text(root, s.get("novel_title")), first_attribute(root, "meta[property='og:image'], img", "content") or first_attribute(root, "img", "src"), text, refs))
-        return pd.DataFrame(rows, columns=["title", "cover_url", "body", "refs"])
+            rows.append({**metadata(root, s, at), "body": chapter_text(root, s.get("chapter_text")), "refs": chapter_references(root, s.get("chapter_list"), at)})
+        return pd.DataFrame(rows, columns=["title", "author", "cover_url", "description", "genres", "body", "refs"])
 
-    return each.withColumn("x", run("html", "selectors")).select("page_id", "site_id", "x.*")
+    return each.withColumn("x", run("html", "page_url", "selectors")).select("page_id", "site_id", "x.*")

@@ -35,11 +35,71 @@ def first_of(*choices: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices])
 
 
-def best_title(candidates: Column) -> Column:
-    """The longest of an array of titles after normalising, the first on ties; "#" signs, bare numbers and empty ones don't count."""
-    plain = F.transform(candidates, lambda t: py_strip(F.regexp_replace(F.regexp_replace(t, "#", ""), r"[ \t\r\n]+", " ")))
-    kept = F.filter(plain, lambda t: (t != "") & ~t.rlike(r"^[0-9]+$"))
-    return F.aggregate(kept, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
+def best_title(candidates: Column, number: Column, place: Column) -> Column:
+    """The best of an array of titles for one chapter.
+
+    White space is normalised; "#" and bare numbers don't count; a leading "#" and a leading number with a blank are taken
+    off. The longest title that says more about a chapter than its number wins, else the longest of the others, the first
+    on ties; without any it is named by its number, or by its place in the list."""
+    plain = F.transform(candidates, lambda t: py_strip(F.regexp_replace(F.coalesce(t, F.lit("")), WS + "+", " ")))
+    kept = F.filter(plain, lambda t: (t != "") & ~t.rlike(r"^#?[ ]*[0-9]*$"))
+    bare = F.filter(F.transform(kept, lambda t: py_strip(F.regexp_replace(F.regexp_replace(t, r"^#[ ]*", ""), r"^[0-9]+[ ]+", ""))), lambda t: t != "")
+    telling = F.filter(bare, lambda t: t.rlike("(?i)chapter") & ~t.rlike(r"(?i)^chapter[ ]*[0-9]+$"))
+    others = F.filter(bare, lambda t: ~t.rlike("(?i)chapter") | t.rlike(r"(?i)^chapter[ ]*[0-9]+$"))
+    longest = lambda a: F.aggregate(a, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
+    return first_of(longest(telling), longest(others), F.concat(F.lit("Chapter "), F.coalesce(number, place).cast("string")))
+
+
+def titled(node: Column, attribute: Column, raw: Column, place: Column) -> Column:
+    """A link's title: its title node's text, else its title attribute, else its own text cleaned, else its place in the list."""
+    return first_of(py_strip(node), py_strip(attribute), clean_title(raw), F.concat(F.lit("Chapter "), place.cast("string")))
+
+
+def first_long(paragraphs: Column, least: int = 60) -> Column:
+    """The first of an array of texts that is longer than so many characters, null without one."""
+    return F.try_element_at(F.filter(paragraphs, lambda p: F.length(py_strip(p)) > least), F.lit(1))
+
+
+def distinct_badges(x: Column) -> Column:
+    """Names of a list in the order in which they are first seen; stripped, without empty ones."""
+    return F.array_distinct(F.filter(F.transform(x, py_strip), lambda b: b != ""))
+
+
+def arabic_author(description: Column) -> Column:
+    """The author that an Arabic description names between its two customary words; null without one. Every letter may stand in a name."""
+    return F.nullif(py_strip(F.regexp_extract(description, rf"المؤلف{WS}+(.+?){WS}+على", 1)), F.lit(""))
+
+
+def failure_line(provider: Column, reason: Column, suggestion: Column) -> Column:
+    """A failed call in words: who failed and why, and what to try, if anything."""
+    said = F.concat(F.lit("["), provider, F.lit("] "), F.coalesce(reason, F.lit("unknown error")))
+    return F.when(F.coalesce(suggestion, F.lit("")) != "", F.concat(said, F.lit(" Suggestion: "), suggestion)).otherwise(said)
+
+
+#: What stands in a settings file where a key has yet to be written (fixed values).
+PLACEHOLDERS = "^(your_[a-z]+_api_key_here|<YOUR_API_KEY>)$"
+
+
+def key_usable(key: Column) -> Column:
+    """Whether a provider's key is there and no placeholder."""
+    plain = py_strip(F.coalesce(key, F.lit("")))
+    return (plain != "") & ~plain.rlike(PLACEHOLDERS)
+
+
+def key_short(key: Column, least: int = 20) -> Column:
+    """Whether a key is so short that it is likely wrong."""
+    return F.length(py_strip(F.coalesce(key, F.lit("")))) < least
+
+
+def models_with_default(listed: Column, default: Column) -> Column:
+    """A list of models with the default put first if it is missing."""
+    models = split_list(listed)
+    return F.when((F.coalesce(default, F.lit("")) != "") & ~F.array_contains(models, default), F.array_prepend(models, default)).otherwise(models)
+
+
+def default_after(models: Column, default: Column) -> Column:
+    """The default after models were taken away or renamed: itself if it is left, else the first, else an empty name."""
+    return F.when(F.array_contains(models, default), default).otherwise(F.coalesce(F.try_element_at(models, F.lit(1)), F.lit("")))
 
 
 def paragraphs(x: Column, delimiter: str = "\n\n") -> Column:

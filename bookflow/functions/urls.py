@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
+#: A chapter's number in an address (a fixed value).
+CHAPTER = r"/chapter-([0-9]+)(?:[/?#]|$)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
@@ -23,7 +25,30 @@ def number(url: Column, pattern: str) -> Column:
 
 
 def chapter_number(url: Column) -> Column:
-    return number(url, r"/chapter-([0-9]+)(?:[/?#]|$)")
+    return number(url, CHAPTER)
+
+
+def is_chapter(url: Column) -> Column:
+    return F.coalesce(url.rlike(CHAPTER), F.lit(False))
+
+
+def is_chapter_link(href: Column) -> Column:
+    """A link to a chapter by its words: it names one, and is not the list of them."""
+    return F.coalesce(F.contains(href, F.lit("/chapter")) & ~F.endswith(href, F.lit("/chapters")), F.lit(False))
+
+
+def acceptable_page(candidate: Column, current: Column, site_host: Column) -> Column:
+    """Whether a link may lead to another page of the same list: the site's host or none, a path, no chapter, and the list's path or one below it."""
+    own = F.regexp_replace(path(current), r"/+$", "")
+    # a link without a host has the path up to its query
+    there = F.when(candidate.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), path(candidate)).otherwise(F.regexp_extract(candidate, r"^([^?#]*)", 1))
+    there_short = F.regexp_replace(there, r"/+$", "")
+    same_host = (host(candidate) == "") | (host(candidate) == site_host)
+    return F.coalesce(same_host & (there != "") & ~is_chapter(candidate) & ((own == "") | (there_short == own) | F.startswith(there_short, F.concat(own, F.lit("/")))), F.lit(False))
+
+
+def is_url(x: Column) -> Column:
+    return F.coalesce(x.rlike("^http"), F.lit(False))
 
 
 def book_number(url: Column) -> Column:
@@ -48,11 +73,23 @@ def valid_chapter(url: Column, book_url: Column) -> Column:
     return (host(url) == host(book_url)) & path(url).rlike(r"/chapter-[0-9]+") & F.startswith(path(url), F.regexp_replace(path(book_url), r"/+$", ""))
 
 
+def _decoded(x: Column) -> Column:
+    return F.coalesce(F.try_url_decode(x), x)
+
+
+def _encoded(x: Column) -> Column:
+    """As a form encodes it: letters, digits and "_.-~" stay, a blank becomes a plus sign."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def with_parameter(url: Column, key: str, value: str) -> Column:
-    """With a query parameter set: its earlier values and parameters without a value are dropped, the order kept."""
-    base, query = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"[?]([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]+=.+") & ~F.startswith(p, F.lit(key + "=")))
-    return F.concat(base, F.lit("?"), F.array_join(F.concat(kept, F.array(F.lit(f"{key}={value}"))), "&"))
+    """With a query parameter set. A key stands once, at its first place and with its last value; parameters without a value are dropped; the fragment stays."""
+    base, query, fragment = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*[?]([^#]*)", 1), F.regexp_extract(url, r"(#.+)$", 1)
+    given = F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=.+")), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)=", 1)).alias("k"), _decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("v")))
+    pairs = F.concat(given, F.array(F.struct(F.lit(key).alias("k"), F.lit(value).alias("v"))))
+    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
+    shown = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.concat(_encoded(k), F.lit("="), _encoded(last(k))))
+    return F.concat(base, F.lit("?"), F.array_join(shown, "&"), fragment)
 
 
 def raw_file(url: Column) -> Column:

@@ -47,7 +47,7 @@ PROMPT = "You translate chapters of serial fiction into Arabic. Keep names and t
 def prompt(rules: DataFrame) -> DataFrame:
     """One row: the instruction with the rules, one on a line, by id."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "source_term", "target_term"))), lambda r: F.concat(F.lit('- "'), r["source_term"], F.lit('" → "'), r["target_term"], F.lit('"'))), "\n")
-    return rules.agg(F.when(F.count("*") > 0, F.concat(F.lit(PROMPT + "\n\nGlossary:\n"), lines)).otherwise(F.lit(PROMPT)).alias("prompt"))
+    return rules.agg(F.when(F.count("*") > MOST_RULES, F.raise_error(F.lit(f"more than {MOST_RULES} glossary rules"))).when(F.count("*") > 0, F.concat(F.lit(PROMPT + "\n\nGlossary:\n"), lines)).otherwise(F.lit(PROMPT)).alias("prompt"))
 
 
 def key(term: Column) -> Column:

@@ -61,3 +61,19 @@ def until_nothing_new(links: DataFrame, group: str, page: str, key: str, most: i
     pages = links.select(group, page).distinct().join(new, [group, page], "left")
     stop = pages.where("n_new is null").groupBy(group).agg(F.min(page).alias("stop"))
     return pages.join(stop, group, "left").where((F.col("stop").isNull() | (F.col(page) < F.col("stop"))) & (F.col(page) <= most)).select(group, page, "n_new")
+
+
+#: A label that opens a range of chapters (a fixed pattern).
+RANGE = r"(?i)chapters?\s+([0-9]+\s*-\s*[0-9]+)"
+
+
+def moved(rows: DataFrame, chosen: DataFrame, group: str, pos: str, by: int) -> DataFrame:
+    """A user's own order after one row of each group was moved by some places: those between give way. ``chosen``: group and the row's place, ``chosen``.
+
+    Places are dense from 1; a row is never moved beyond the first or last place."""
+    last = rows.groupBy(group).agg(F.max(pos).alias("_last"))
+    target = F.greatest(F.lit(1), F.least(F.col("_last"), F.col("chosen") + F.lit(by)))
+    both = rows.join(chosen, group, "left").join(last, group).withColumn("_to", target)
+    p, at, to = F.col(pos), F.col("chosen"), F.col("_to")
+    new = F.when(p == at, to).when((p > at) & (p <= to), p - 1).when((p < at) & (p >= to), p + 1).otherwise(p)
+    return both.withColumn(pos, F.coalesce(new, p).cast(rows.schema[pos].dataType)).select(*rows.columns)

@@ -9,17 +9,19 @@ from bookflow.functions.text import not_blank
 from bookflow.schemas import TO_TRANSLATE
 
 
+def _latest(rows: DataFrame, *order: Column) -> DataFrame:
+    """The first row of each id in the given order. A rank, not an aggregate: the optimizer takes columns that nobody asks for off the scan and the shuffle."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
 def current(chapters: DataFrame) -> DataFrame:
-    """One row per id: the latest, of equally late ones that with a translation. Columns that nobody asks for are pruned before the shuffle."""
-    rest = [c for c in chapters.columns if c != "id"]
-    order = F.struct(F.col("updated_at"), F.col("translated_text").isNotNull(), F.col("status"), F.col("title"))
-    return chapters.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("x")).select("id", "x.*")
+    """One row per id: the latest, of equally late ones a translated one. No text decides, so counts of chapters read none."""
+    return _latest(chapters, F.desc("updated_at"), F.desc(F.coalesce(F.col("status") == "translated", F.lit(False))), F.desc("status"), F.desc("title"))
 
 
 def latest_jobs(jobs: DataFrame) -> DataFrame:
     """One row per job: its latest."""
-    rest = [c for c in jobs.columns if c != "id"]
-    return jobs.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", "progress", "status")).alias("x")).select("id", "x.*")
+    return _latest(jobs, F.desc("updated_at"), F.desc("progress"), F.desc("status"))
 
 
 def recovered(chapters: DataFrame) -> DataFrame:
@@ -56,5 +58,17 @@ def effective_text(native: Column) -> Column:
     return F.when(not_blank(F.col("translated_text")), F.col("translated_text")).when(native & not_blank(F.col("raw_text")), F.col("raw_text"))
 
 
+#: Changes of a chapter's state that may happen (fixed values): scraped, translated, failed, and given up.
+CHAPTER_STEPS = {("pending", "scraped"), ("pending", "failed"), ("failed", "scraped"), ("failed", "translating"), ("scraped", "translating"), ("translated", "translating"), ("translating", "translated"), ("translating", "failed"), ("translating", "scraped"), ("translated", "scraped")}
+
+
+def steps(events: DataFrame, allowed: set[tuple[str, str]], *order: Column) -> DataFrame:
+    """Each event of an id with the state before it, and whether that change may happen; a first event, and one that changes nothing, may."""
+    before = F.lag("status").over(Window.partitionBy("id").orderBy(*order))
+    pairs = F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("status")) for a, b in sorted(allowed)])
+    with_before = events.withColumn("before", before)
+    return with_before.withColumn("allowed", F.col("before").isNull() | F.coalesce(F.col("before") == F.col("status"), F.lit(False)) | F.array_contains(pairs, F.struct("before", "status")))
+
+
 #: Changes of a job's state that may happen (fixed values).
 JOB_STEPS = {("queued", "running"), ("queued", "cancelled"), ("running", "paused"), ("paused", "running"), ("running", "completed"), ("running", "failed"), ("running", "cancelled"), ("paused", "cancelled")}

@@ -13,7 +13,7 @@ from bookflow.functions import text as X
 from bookflow.functions import urls as U
 from bookflow.operators import epub, errors, glossary, refs, sites, state, translate
 from bookflow.schemas import ACTIVE_JOBS, JOB, TO_SCRAPE
-from bookflow.session import shared_folder, table
+from bookflow.session import shared_folder, table, written
 from bookflow.sources import snapshots
 from bookflow.streaming import ingest
 
@@ -90,8 +90,10 @@ def library_counts(s, d):
 
 @query("SELECT (SELECT count(*) FROM cur WHERE status = 'translating') AS n_recovered, (SELECT count(*) FROM glossary_rule WHERE source_term IS NOT NULL) AS n_rules")
 def affected_counts(s, d):
-    n = chapters(s, d).agg(F.count_if(F.col("status") == "translating").alias("n_recovered"))
-    return n.withColumn("n_rules", F.lit(table(s, d, "glossary_rule").where("source_term is not null").count()).cast("long"))
+    # both counts in one pass over the two tables' flags
+    flags = chapters(s, d).select((F.col("status") == "translating").alias("recovered"), F.lit(False).alias("rule"))
+    rules = table(s, d, "glossary_rule").select(F.lit(False).alias("recovered"), F.col("source_term").isNotNull().alias("rule"))
+    return flags.unionByName(rules).agg(F.count_if("recovered").alias("n_recovered"), F.count_if("rule").alias("n_rules"))
 
 
 # ---- scheduling -----------------------------------------------------------------------------------------------------
@@ -114,9 +116,9 @@ def pending_scrape(s, d):
 def selected_in_order(s, d):
     """A request names ids in an order of its own (here from the last chapter to the first); those not pending fall out."""
     c = chapters(s, d).select("id", "novel_id", "idx", "status")
-    request = c.groupBy("novel_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "id")), asc=False), lambda x: x["id"]).alias("ids")).select("novel_id", F.posexplode("ids").alias("pos", "id"))
-    hit = request.join(state.pending(c).select("id"), "id")
-    return hit.select("novel_id", F.col("id").alias("chapter_id"), F.row_number().over(Window.partitionBy("novel_id").orderBy("pos")).alias("place"))
+    request = refs.reindexed(c.select("id", "novel_id", "idx"), "novel_id", F.desc("idx"), F.desc("id"), bucket=refs.span(-F.col("idx")), name="pos")
+    hit = request.join(state.pending(c).select("id"), "id").select("novel_id", F.col("id").alias("chapter_id"), "pos")
+    return refs.reindexed(hit, "novel_id", F.col("pos"), bucket=refs.span(F.col("pos")), name="place", start=1).select("novel_id", "chapter_id", "place")
 
 
 BATCH = 5
@@ -268,13 +270,34 @@ def valid_chapter_url(s, d):
 # ---- titles and texts -----------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH cand AS (SELECT novel_id, idx, id, {strip("regexp_replace(replace(title, '#', ''), '[ \t\r\n]+', ' ', 'g')")} AS t FROM (SELECT DISTINCT novel_id, idx, id, title FROM chapter))
-SELECT k.novel_id, k.idx, coalesce(b.t, '') AS title FROM (SELECT DISTINCT novel_id, idx FROM cand) k
-LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY novel_id, idx ORDER BY length(t) DESC, id, t) AS rn FROM cand WHERE t <> '' AND NOT regexp_matches(t, '^[0-9]+$')) b ON b.novel_id = k.novel_id AND b.idx = k.idx AND b.rn = 1""")
+def _normal(t: str) -> str:
+    return strip(f"regexp_replace(coalesce({t}, ''), '{WS}+', ' ', 'g')")
+
+
+def _best(candidates: str, keys: str, number: str, place: str) -> str:
+    """SQL of functions.text.best_title over rows (keys, ord, t); ``number`` and ``place`` are expressions of the keys."""
+    bare = strip("regexp_replace(regexp_replace(n, '^#[ ]*', ''), '^[0-9]+[ ]+', '')")
+    return f"""k AS (SELECT DISTINCT {keys} FROM {candidates}),
+norm AS (SELECT {keys}, ord, {bare} AS b FROM (SELECT {keys}, ord, {_normal('t')} AS n FROM {candidates}) WHERE n <> '' AND NOT regexp_full_match(n, '#?[ ]*[0-9]*')),
+best AS (SELECT {keys}, first(b ORDER BY (regexp_matches(b, '(?i)chapter') AND NOT regexp_full_match(b, '(?i)chapter[ ]*[0-9]+')) DESC, length(b) DESC, ord) AS b FROM norm WHERE b <> '' GROUP BY {keys}),
+titled AS (SELECT k.*, coalesce(b, 'Chapter ' || coalesce({number}, {place})) AS title FROM k LEFT JOIN best USING ({keys}))"""
+
+
+#: What a page shows of a chapter: its title alone, behind its number, and the number behind a sign.
+SHOWN = ("title", "idx || ' ' || title", "'#' || (idx + 1)")
+
+
+@query(f"""WITH c AS (SELECT DISTINCT novel_id, idx, id, source_url, title FROM chapter), cand AS (SELECT novel_id, source_url, idx, id, p, [{", ".join(SHOWN)}][p] AS t FROM c, (SELECT unnest(range(1, 4)) AS p)),
+o AS (SELECT novel_id, source_url, idx, row_number() OVER (ORDER BY id, idx, p, t) AS ord, t FROM cand), first AS (SELECT novel_id, source_url, min(idx) + 1 AS place FROM o GROUP BY ALL), {_best("o", "novel_id, source_url", "CAST(nullif(regexp_extract(source_url, '/chapter-([0-9]+)(?:[/?#]|$)', 1), '') AS BIGINT)", "0")}
+SELECT titled.novel_id, source_url, title, place FROM titled JOIN first USING (novel_id, source_url)""")
 def best_title(s, d):
-    c = table(s, d, "chapter").select("novel_id", "idx", "id", "title").distinct()
-    titles = F.transform(F.array_sort(F.collect_list(F.struct("id", "title"))), lambda x: x["title"])
-    return c.groupBy("novel_id", "idx").agg(X.best_title(titles).alias("title"))
+    """All titles that are shown for an address, in the order in which they are first seen, and the best of them."""
+    c = table(s, d, "chapter").select("novel_id", "idx", "id", "source_url", "title").distinct()
+    shown = F.array(F.col("title"), F.concat(F.col("idx").cast("string"), F.lit(" "), "title"), F.concat(F.lit("#"), (F.col("idx") + 1).cast("string")))
+    each = c.select("novel_id", "source_url", "idx", "id", F.posexplode(shown).alias("p", "t"))
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("id", "idx", "p", "t"))), lambda x: x["t"])
+    found = each.groupBy("novel_id", "source_url").agg(titles.alias("titles"), (F.min("idx") + 1).alias("place"))
+    return found.select("novel_id", "source_url", X.best_title(F.col("titles"), U.chapter_number(F.col("source_url")), F.lit(0)).alias("title"), "place")
 
 
 @query(f"SELECT id AS chapter_id, {strip("regexp_replace(regexp_replace(idx || ' ' || title || '  ' || (idx + 1) || ' days ago', '(?i)^[0-9]+[ \t]*(chapter)', '\\1'), '(?i)[ \t]*[0-9]+[ \t]+(second|minute|hour|day|week|month|year)s?[ \t]+ago[ \t]*$', '')")} AS title FROM cur")
@@ -315,16 +338,19 @@ def paragraph_html(s, d):
 SELECT novel_id, id AS chapter_id, printf('text/chapter_%04d.xhtml', idx) AS file_name, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) AS INT) AS place, title, {_paragraphs('text', 'chr(10) || chr(10)')} AS html FROM use WHERE text IS NOT NULL""")
 def epub_chapters(s, d):
     """The chapters of each book's package: in order, with their file names and markup."""
-    use = with_native(s, d).withColumn("text", state.effective_text(F.col("native"))).where("text is not null")
+    use = with_native(s, d).withColumn("text", state.effective_text(F.col("native"))).where("text is not null").select("novel_id", "id", "idx", "title", X.paragraphs(F.col("text")).alias("html"))
+    use = written(use, "package-chapters")  # the texts are made once; places are numbered on narrow rows
     placed = refs.reindexed(use.select("novel_id", "id", "idx"), "novel_id", F.col("idx"), F.col("id"), bucket=refs.span(F.col("idx")), name="place", start=1).select("id", "place")
-    return use.join(placed, "id").select("novel_id", F.col("id").alias("chapter_id"), X.chapter_file(F.col("idx")).alias("file_name"), "place", "title", X.paragraphs(F.col("text")).alias("html"))
+    return use.join(placed, "id").select("novel_id", F.col("id").alias("chapter_id"), X.chapter_file(F.col("idx")).alias("file_name"), "place", "title", "html")
 
 
 @query(f"""WITH {CUR}, {NATIVE}, use AS (SELECT c.novel_id, c.id, c.idx, c.title FROM cur c JOIN native n ON n.id = novel_id WHERE coalesce({strip('translated_text')} <> '', false) OR (n.native AND coalesce({strip('raw_text')} <> '', false)))
 SELECT novel_id, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) AS INT) AS place, 'chapter-' || row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) AS anchor, title FROM use
 UNION ALL SELECT DISTINCT u.novel_id, 0, 'cover', n.title FROM use u JOIN novel n ON n.id = u.novel_id""")
 def epub_toc(s, d):
-    c = epub_chapters(s, d).select("novel_id", "place", F.concat(F.lit("chapter-"), F.col("place").cast("string")).alias("anchor"), "title")
+    use = with_native(s, d).where(state.effective_text(F.col("native")).isNotNull()).select("novel_id", "id", "idx", "title")
+    placed = refs.reindexed(use, "novel_id", F.col("idx"), F.col("id"), bucket=refs.span(F.col("idx")), name="place", start=1)
+    c = placed.select("novel_id", "place", F.concat(F.lit("chapter-"), F.col("place").cast("string")).alias("anchor"), "title")
     cover = c.select("novel_id").distinct().join(table(s, d, "novel").select(F.col("id").alias("novel_id"), "title"), "novel_id").select("novel_id", F.lit(0).alias("place"), F.lit("cover").alias("anchor"), "title")
     return c.unionByName(cover)
 
@@ -419,9 +445,9 @@ def absolute_urls(s, d):
     return c.select(F.col("id").alias("chapter_id"), U.absolute(href, F.col("base_url")).alias("url"), U.absolute(image, F.col("base_url")).alias("image"))
 
 
-@query("SELECT id AS novel_id, source_url || '?page=' || id || '&tab=chapters' AS url, 'https://raw.githubusercontent.com/reader/sites/main/' || source_site || '.json' AS raw_url, CASE WHEN regexp_matches(lower(source_url), 'cloudflare|protected|wordpress|wp-') THEN 1 WHEN regexp_matches(lower(source_url), 'app|javascript|dynamic|series') THEN 2 ELSE 0 END AS method FROM novel")
+@query("SELECT id AS novel_id, source_url || '?tab=chapters&page=' || id || '&name=a+b%2Ac~#list' AS url, 'https://raw.githubusercontent.com/reader/sites/main/' || source_site || '.json' AS raw_url, CASE WHEN regexp_matches(lower(source_url), 'cloudflare|protected|wordpress|wp-') THEN 1 WHEN regexp_matches(lower(source_url), 'app|javascript|dynamic|series') THEN 2 ELSE 0 END AS method FROM novel")
 def url_rewrites(s, d):
-    asked = F.concat(F.col("source_url"), F.lit("?tab=about&page="), F.col("id").cast("string"), F.lit("&q="))
+    asked = F.concat(F.col("source_url"), F.lit("?tab=about&page=0&page="), F.col("id").cast("string"), F.lit("&q=&name=a%20b*c%7E#list"))
     blob = F.concat(F.lit("https://github.com/reader/sites/blob/main/"), F.col("source_site"), F.lit(".json"))
     return table(s, d, "novel").select(F.col("id").alias("novel_id"), U.with_parameter(asked, "tab", "chapters").alias("url"), U.raw_file(blob).alias("raw_url"), sites.suggested_method(F.col("source_url")).alias("method"))
 
@@ -555,30 +581,48 @@ def html_title_body(s, d):
     return html.extracted(_pages(s, d), table(s, d, "site")).select("page_id", "title", "body")
 
 
-@query("SELECT novel_id AS page_id, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) - 1 AS INT) AS pos, source_url AS href FROM cur")
+#: Chapters that one page of a list, a manifest or an embedded object holds: lists come in pages, so none holds a whole book.
+PAGE = 200
+#: Addresses of a page of a list, each once, where it is first seen, with all titles that are shown for it.
+_LISTED = f"""c AS (SELECT novel_id, CAST(floor(idx / {PAGE}) AS BIGINT) AS page, idx, id, source_url AS url, title FROM cur WHERE regexp_matches(source_url, '/chapter-[0-9]+(?:[/?#]|$)')),
+o AS (SELECT novel_id, page, url, row_number() OVER (ORDER BY idx, id) AS ord, title AS t FROM c), first AS (SELECT novel_id, page, url, CAST(row_number() OVER (PARTITION BY novel_id, page ORDER BY min(ord)) - 1 AS INT) AS pos FROM o GROUP BY novel_id, page, url),
+{_best("o", "novel_id, page, url", "CAST(nullif(regexp_extract(url, '/chapter-([0-9]+)(?:[/?#]|$)', 1), '') AS BIGINT)", "0")}"""
+
+
+def _listed(c: DataFrame, item) -> DataFrame:
+    """(novel_id, page, items): what each page of a book's list holds, in order."""
+    return c.groupBy("novel_id", F.floor(F.col("idx") / PAGE).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+@query(f"WITH {CUR}, {_LISTED} SELECT novel_id, page, pos, url AS href, title FROM titled JOIN first USING (novel_id, page, url)")
 def html_refs(s, d):
-    """Lists of chapters, without the links of a widget for the latest ones."""
+    """Lists of chapters in pages, without the links of a list of the latest ones."""
     site = table(s, d, "site").select(F.col("site_id").alias("source_site"), F.regexp_extract(F.col("selectors")["chapter_list"], r"\.([\w-]+)", 1).alias("cls"))
     n = table(s, d, "novel").join(site, "source_site").select(F.col("id").alias("novel_id"), F.col("source_site").alias("site_id"), "cls")
-    link = F.transform(F.array_sort(F.collect_list(F.struct("idx", "id", "source_url", "title"))), lambda x: F.concat(F.lit("<li><a href='"), x["source_url"], F.lit("'>"), X.escaped(x["title"]), F.lit("</a>")))
-    toc = chapters(s, d).groupBy("novel_id").agg(F.array_join(link, "").alias("items")).join(n, "novel_id")
-    page = F.concat(F.lit("<html><body><div class='"), "cls", F.lit("'><div class='latest-widget'><a href='/chapter-x'>new</a></div><ul>"), "items", F.lit("</ul></div></body></html>"))
-    found = html.extracted(toc.select(F.col("novel_id").alias("page_id"), "site_id", page.alias("html")), table(s, d, "site"))
-    return found.select("page_id", F.explode("refs").alias("r")).select("page_id", "r.pos", "r.href")
+    link = F.transform("items", lambda x: F.concat(F.lit("<li><a href='"), x["source_url"], F.lit("'>"), X.escaped(x["title"]), F.lit("</a>")))
+    toc = _listed(chapters(s, d), F.struct("idx", "id", "source_url", "title")).join(n, "novel_id")
+    latest = F.lit("<html><body><div class=toc-list><div class='latest-release box'><a href='/chapter-1'>new</a></div><div class='")
+    page = F.concat(latest, "cls", F.lit("'><a href='/about'>about</a><a href='/chapters'>all</a><ul>"), F.array_join(link, ""), F.lit("</ul></div></div></body></html>"))
+    found = html.extracted(toc.select(F.struct("novel_id", "page").alias("page_id"), "site_id", page.alias("html")), table(s, d, "site"))
+    r = F.col("r")
+    return found.select("page_id", F.explode("refs").alias("r")).select("page_id.novel_id", "page_id.page", "r.pos", "r.href", X.best_title(r["titles"], U.chapter_number(r["href"]), r["pos"] + 1).alias("title"))
 
 
-@query("SELECT novel_id, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) - 1 AS INT) AS pos, source_url AS url, trim(idx || ' ' || title) AS title FROM cur")
+@query(f"SELECT novel_id, CAST(floor(idx / {PAGE}) AS BIGINT) AS page, CAST(row_number() OVER (PARTITION BY novel_id, CAST(floor(idx / {PAGE}) AS BIGINT) ORDER BY idx, id) - 1 AS INT) AS pos, source_url AS url, trim(idx || ' ' || title) AS title FROM cur")
 def manifest_json(s, d):
-    item = F.array_sort(F.collect_list(F.struct("idx", "id", F.col("source_url").alias("url"), F.col("idx").cast("string").alias("label"), "title")))
-    books = chapters(s, d).groupBy("novel_id").agg(F.to_json(F.struct(item.alias("chapters"))).alias("payload"))
-    return books.select("novel_id", F.explode(jsonwalk.manifest(F.col("payload"))).alias("x")).select("novel_id", "x.*")
+    pages = _listed(chapters(s, d), F.struct("idx", "id", F.col("source_url").alias("url"), F.col("idx").cast("string").alias("label"), "title"))
+    pages = pages.select("novel_id", "page", F.to_json(F.struct(F.col("items").alias("chapters"))).alias("payload"))
+    return pages.select("novel_id", "page", F.explode(jsonwalk.manifest(F.col("payload"))).alias("x")).select("novel_id", "page", "x.*")
 
 
-@query("SELECT novel_id, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) - 1 AS INT) AS pos, source_url AS url, title FROM cur")
+@query(f"WITH {CUR}, {_LISTED} SELECT novel_id, page, pos, url, title FROM titled JOIN first USING (novel_id, page, url)")
 def json_walk(s, d):
-    item = F.array_sort(F.collect_list(F.struct("idx", "id", F.struct(F.col("source_url").alias("href"), F.col("title").alias("name")).alias("data"))))
-    books = chapters(s, d).groupBy("novel_id").agg(F.concat(F.lit('<script id="__NEXT_DATA__">'), F.to_json(F.struct(F.struct(item.alias("list")).alias("props"))), F.lit("</script>")).alias("page"))
-    return jsonwalk.references(books.select("novel_id", jsonwalk.embedded(F.col("page")).alias("payload")), "novel_id", "payload")
+    """References in what pages embed: objects with an address under several keys, of which one is no chapter's."""
+    entry = F.struct(F.lit("/about").alias("url"), F.col("source_url").alias("href"), F.col("title").alias("name"), F.lit("/tag").alias("slug"))
+    pages = _listed(chapters(s, d), F.struct("idx", "id", entry.alias("data")))
+    embedded = F.concat(F.lit("<script type=x id='__NEXT_DATA__'>"), F.to_json(F.struct(F.struct(F.col("items").alias("list")).alias("props"))), F.lit("</script>"))
+    found = jsonwalk.references(pages.select(F.struct("novel_id", "page").alias("at"), jsonwalk.embedded(embedded).alias("payload")), "at", "payload")
+    return found.select("at.novel_id", "at.page", "pos", "url", "title")
 
 
 @query("SELECT doc_id AS page_id, CASE WHEN length(text) > 500 THEN length(text) ELSE 2 * length(text) END AS n_chars, NOT coalesce(length(text) > 500, false) AS rendered FROM documents")
@@ -624,6 +668,6 @@ def stream_windows(s, d):
     """Events by hour and type, counted in a stream with a watermark."""
     from bookflow.schemas import EVENT
 
-    name = f"counts_{uuid.uuid4().hex}"
-    found = ingest.windowed_counts(s, f"{d}/events.parquet*", EVENT, name, f"{shared_folder(s)}/{name}")
+    base = f"{shared_folder(s)}/windows-{uuid.uuid4().hex}"
+    found = ingest.windowed_counts(s, f"{d}/events.parquet*", EVENT, f"{base}/sink", f"{base}/checkpoint")
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

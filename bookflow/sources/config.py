@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import py_strip
@@ -51,6 +51,23 @@ def patched(named: DataFrame, updates: DataFrame, removed: DataFrame) -> DataFra
     return both.select("name", F.coalesce("new_value", "value").alias("value"), change.alias("change"))
 
 
-def in_order(lines: DataFrame) -> DataFrame:
-    """Lines with a dense index, for sinks that need the file's order."""
-    return lines.withColumn("line_no", F.row_number().over(Window.orderBy("line_no")) - 1)
+def patched_lines(lines: DataFrame, updates: DataFrame, removed: DataFrame) -> DataFrame:
+    """(line_no, line): a settings file after updates and removals, in its order: comments and blank lines stay, new settings come last, by name.
+
+    A settings file is small; its lines meet in one row."""
+    name = py_strip(F.split("line", "=", 2)[0])
+    plain = py_strip(F.col("line"))
+    named = lines.select("line_no", "line", F.when((plain != "") & ~F.startswith(plain, F.lit("#")) & F.contains(plain, F.lit("=")), name).alias("name"))
+    kept = named.join(removed.select("name").distinct(), "name", "left_anti").join(updates.select("name", "new_value"), "name", "left")
+    shown = kept.select(F.lit(0).alias("late"), "line_no", F.lit("").alias("by"), F.when(F.col("new_value").isNotNull(), F.concat("name", F.lit("="), "new_value")).otherwise(F.col("line")).alias("line"))
+    new = updates.join(named.where("name is not null").select("name").distinct(), "name", "left_anti").join(removed.select("name").distinct(), "name", "left_anti")
+    added = new.select(F.lit(1).alias("late"), F.lit(0).cast("long").alias("line_no"), F.col("name").alias("by"), F.concat("name", F.lit("="), "new_value").alias("line"))
+    every = shown.withColumn("line_no", F.col("line_no").cast("long")).unionByName(added).agg(F.array_sort(F.collect_list(F.struct("late", "line_no", "by", "line"))).alias("x"))
+    return every.select(F.posexplode("x").alias("line_no", "x")).select("line_no", "x.line")
+
+
+def read_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    """All definition files of a folder, by file name and site; where a site is defined twice, the last file counts. No code is run."""
+    text = spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    each = text.select("file", F.explode(F.from_json("value", f"map<string,{_SITE}>")).alias("site_id", "x"))
+    return each.groupBy("site_id").agg(F.max_by("x", "file").alias("x")).select("site_id", "x.*").orderBy("site_id")

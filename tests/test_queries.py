@@ -2,6 +2,7 @@
 
 import pytest
 
+import bookflow.plans.details  # noqa: F401 - registers its queries
 from bookflow.plans.queries import QUERIES, SQL
 from compare import check
 
