@@ -1,10 +1,14 @@
 """Encoding of texts with a public byte-level BPE vocabulary, all in Spark expressions.
 
-Method: texts are split by the vocabulary's pattern; a piece that is a token as it stands gets its id at once. The other
-pieces are made distinct, and higher-order functions fold the ranked merges over their bytes: each step joins the pair of
-lowest rank, the leftmost first, until no pair has a rank. The rank map is a literal: an array of small maps, by hash of
-the token, so that one look-up compares about a dozen keys. Bytes are written as characters U+0000 to U+00FF. Decoding
-concatenates the tokens' bytes.
+Method: texts are split by the vocabulary's pattern, and the words are made distinct and counted. Higher-order functions
+fold the ranked merges over the bytes of each distinct word: each step joins the pair of lowest rank, the leftmost first,
+until no pair has a rank; a word that is a token as it stands has its id. The rank map is a literal: an array of small
+maps, by hash of the token, so that one look-up compares a few keys. Bytes are written as characters U+0000 to U+00FF,
+since keys of such maps are strings. Decoding concatenates the tokens' binary pieces.
+
+The ids of the vocabulary's own tokens and of the FREQUENT most frequent other words are a literal of the same kind, so
+that a document finds nearly all of its words where it is read. Only the others, none of which makes up more than one in
+FREQUENT words, are joined to the distinct words by shuffle, and only documents that have such words move.
 
 Cases: null and empty texts have an empty list of ids; every row of the input gets a row; strings that look like special
 tokens are ordinary text; texts and pieces of any length are encoded whole; repeated texts are encoded like any other.
@@ -15,8 +19,10 @@ from __future__ import annotations
 import base64
 import json
 import os
+import zlib
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.session import written
@@ -26,35 +32,50 @@ FOLDER = os.environ.get("BOOKFLOW_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The pattern of the vocabulary (a fixed value); (?U) lets white space be that of Unicode.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKETS = 4096
+BUCKETS = 16_384
 NONE = 2**31 - 1
-#: A piece is hot if it makes up this share of all pieces to be joined; there are at most 1 / HOT of them, and these are broadcast.
-HOT = 0.001
+#: Words besides the vocabulary's tokens whose ids every task knows.
+FREQUENT = 32_768
+
+
+def _bucket(token: Column) -> Column:
+    return (F.crc32(token) % BUCKETS + 1).cast("int")
+
+
+def _maps(items: Iterable[tuple[str, object]], value: str) -> Column:
+    """A literal array of small maps, by hash of the key; folded to one literal by the optimizer."""
+    maps: list[dict[str, object]] = [{} for _ in range(BUCKETS)]
+    for k, v in items:
+        maps[zlib.crc32(k.encode()) % BUCKETS][k] = v
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), f"array<map<string,{value}>>")
 
 
 class Vocabulary:
     """Ranks by token, as Spark literals. Its size is that of the vocabulary file, whatever the data."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    def __init__(self, path: str | None = None):
         with open(path or os.path.join(FOLDER, VOCABULARY), "rb") as f:
-            self.ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in (line.split() for line in f if line.strip())}
-        rows = spark.createDataFrame(list(self.ranks.items()), "token string, rank int").select("token", "rank", _bucket(F.col("token")).alias("bucket")).collect()
-        maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for r in rows:
-            maps[r["bucket"] - 1][r["token"]] = r["rank"]
-        self.table = F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")  # folded to one literal by the optimizer
-        pieces = [""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            pieces[rank] = token.encode("latin-1").hex()
-        self.pieces = F.split(F.lit(",".join(pieces)), ",")
+            pairs = [line.split() for line in f if line.strip()]
+        self.tokens = {base64.b64decode(a): int(b) for a, b in pairs}
+        self.table = _maps(((t.decode("latin-1"), r) for t, r in self.tokens.items()), "int")
+        pieces = [""] * (max(self.tokens.values()) + 1)
+        for a, b in pairs:
+            pieces[int(b)] = a.decode()
+        self.pieces = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<binary>")
 
     def bound(self, body) -> Column:
         """``body(rank)`` with the table bound once, however often ``rank`` (of a token; null if it has none) is used."""
         return _let(self.table, lambda table: body(lambda token: F.element_at(F.element_at(table, _bucket(token)), token)))
 
-
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.hash(token), F.lit(BUCKETS)) + 1
+    def words(self) -> dict[str, list[int]]:
+        """The tokens that are texts, with their ids."""
+        out = {}
+        for t, r in self.tokens.items():
+            try:
+                out[t.decode()] = [r]
+            except UnicodeDecodeError:
+                continue
+        return out
 
 
 def as_bytes(text: Column) -> Column:
@@ -102,51 +123,77 @@ def merged(piece: Column, rank) -> Column:
     return F.transform(folded["p"], rank)
 
 
+def _split(documents: DataFrame, text: str, *columns: str) -> DataFrame:
+    return documents.select(*columns, F.coalesce(F.when(F.col(text) != "", pieces(F.col(text))), F.array().cast("array<string>")).alias("words"))
+
+
+def distinct_words(documents: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
+    """(word, n, ids): all words of all texts, each once; written to the shared folder."""
+    counts = _split(documents, text).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    spread = counts.repartition(4 * documents.sparkSession.sparkContext.defaultParallelism, "word")  # few bytes, but long to merge
+    ids = vocabulary.bound(lambda rank: _let(as_bytes(F.col("word")), lambda piece: F.when(rank(piece).isNotNull(), F.array(rank(piece))).otherwise(merged(piece, rank))))
+    return written(spread.select("word", "n", ids.alias("ids")), "words")
+
+
+def _known(distinct: DataFrame, vocabulary: Vocabulary, counts: bool) -> Column:
+    """The literal of the tokens and the FREQUENT most frequent other words: their ids, or only how many they are."""
+    own = vocabulary.words()
+    rows = distinct.where(F.size("ids") > 1).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", F.size("ids").alias("ids") if counts else F.col("ids")).collect()
+    if counts:
+        return _maps([*((w, 1) for w in own), *((r["word"], r["ids"]) for r in rows)], "int")
+    return _maps([*own.items(), *((r["word"], r["ids"]) for r in rows)], "array<int>")
+
+
+def _looked_up(documents: DataFrame, text: str, table: Column, *columns: str) -> DataFrame:
+    """(columns, row, parts, rest): what each word has in the table, null if it has nothing, and the words without; written to the shared folder."""
+    parts = _let(table, lambda t: F.transform("words", lambda w: F.element_at(F.element_at(t, _bucket(w)), w)))
+    found = _split(documents, text, *columns).select(*columns, "words", parts.alias("parts"))
+    open_ = F.filter(F.transform(F.arrays_zip("words", "parts"), lambda x, i: F.struct(i.alias("at"), F.when(x["parts"].isNull(), x["words"]).alias("word"))), lambda x: x["word"].isNotNull())
+    rest = F.when(F.exists("parts", lambda p: p.isNull()), open_)
+    return written(found.select(*columns, F.monotonically_increasing_id().alias("row"), "parts", rest.alias("rest")), "looked-up")  # the row's number is fixed by writing
+
+
 def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: Vocabulary | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, columns to keep, ids) of every row: the ids of its text. Rows of one key, or without one, stay apart."""
-    vocabulary = vocabulary or Vocabulary(documents.sparkSession)
-    listed = F.array().cast("array<string>")
-    split = documents.select(F.col(key), *keep, F.coalesce(F.when(F.col(text) != "", pieces(F.col(text))), listed).alias("words"))
-    known = split.select(
-        key,
-        *keep,
-        vocabulary.bound(lambda rank: F.transform("words", lambda w, i: _let(as_bytes(w), lambda b: F.struct(i.alias("at"), rank(b).alias("id"), b.alias("piece"))))).alias("words"),
-    ).select(
-        key,
-        *keep,
-        F.monotonically_increasing_id().alias("row"),  # fixed by writing the table
-        F.transform(F.filter("words", lambda x: x["id"].isNotNull()), lambda x: F.struct(x["at"], F.array(x["id"]).alias("ids"))).alias("known"),
-        F.transform(F.filter("words", lambda x: x["id"].isNull()), lambda x: F.struct(x["at"], x["piece"])).alias("rest"),
-    )
-    known = written(known, "pieces")
-    rest = known.select("row", F.explode("rest").alias("x")).select("row", "x.at", "x.piece")
-    distinct = written(rest.groupBy("piece").agg(F.count("*").alias("n")).repartition("piece").select("piece", "n", vocabulary.bound(lambda rank: merged(F.col("piece"), rank)).alias("ids")), "merged")
-    total = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = distinct.where(F.col("n") > F.lit(HOT) * F.lit(total)).select("piece", F.col("ids").alias("hot_ids"))
-    cold = distinct.where(F.col("n") <= F.lit(HOT) * F.lit(total)).select(F.col("piece").alias("join_piece"), F.col("ids").alias("cold_ids"))
-    # pieces already resolved get a key that matches nothing, spread so that they don't meet in one task
-    spread = F.concat(F.lit("Ā"), F.pmod(F.xxhash64("row", "at"), F.lit(10_000)).cast("string"))
-    joined = (
-        rest.join(F.broadcast(hot), "piece", "left")
-        .withColumn("join_piece", F.when(F.col("hot_ids").isNull(), F.col("piece")).otherwise(spread))
-        .join(cold, "join_piece", "left")
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("at", F.coalesce("hot_ids", "cold_ids").alias("ids"))).alias("found"))
-    )
-    none = F.array().cast("array<struct<at:int,ids:array<int>>>")
-    return (
-        known.select(key, *keep, "row", "known")
-        .join(joined, "row", "left")
-        .select(key, *keep, F.flatten(F.transform(F.array_sort(F.concat("known", F.coalesce("found", none))), lambda x: x["ids"])).alias("ids"))
-    )
+    vocabulary = vocabulary or Vocabulary()
+    distinct = distinct_words(documents, text, vocabulary)
+    rows = _looked_up(documents, text, _known(distinct, vocabulary, False), key, *keep)
+    whole = rows.where("rest is null").select(key, *keep, F.flatten("parts").alias("ids"))
+    broken = rows.where("rest is not null")
+    joined = broken.select("row", F.explode("rest").alias("x")).select("row", "x.at", "x.word").join(distinct.select("word", "ids"), "word")
+    found = joined.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("found"))
+    # both lists by place: what was looked up has no hole where the other has a word
+    known = F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("at"), p.alias("ids"))), lambda x: x["ids"].isNotNull())
+    filled = F.transform(F.array_sort(F.concat(known, "found")), lambda x: x["ids"])
+    mended = broken.select(key, *keep, "row", "parts").join(found, "row").select(key, *keep, F.flatten(filled).alias("ids"))
+    return whole.unionByName(mended)
+
+
+def counted(documents: DataFrame, text: str = "text", vocabulary: Vocabulary | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(columns to keep, n_tokens) of every row: how many ids its text has, without making them."""
+    vocabulary = vocabulary or Vocabulary()
+    distinct = distinct_words(documents, text, vocabulary)
+    rows = _looked_up(documents, text, _known(distinct, vocabulary, True), *keep)
+    own = rows.select(*keep, "row", F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + F.coalesce(p, F.lit(0))).alias("own"))
+    rest = rows.where("rest is not null").select("row", F.explode("rest.word").alias("word")).join(distinct.select("word", F.size("ids").alias("n")), "word")
+    more = rest.groupBy("row").agg(F.sum("n").alias("more"))
+    return own.join(more, "row", "left").select(*keep, (F.col("own") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
+
+
+#: Pieces concatenated at once: each step copies what came before, so long texts are put together in two levels.
+CHUNK = 256
 
 
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The text of a list of ids: its tokens' bytes, one after the other."""
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(vocabulary.pieces, i + 1)), "")), "UTF-8")
+    """The text of a list of ids: its tokens' binary pieces, one after the other."""
+    empty = F.lit(bytearray()).cast("binary")
+    joined = lambda a: F.aggregate(a, empty, lambda acc, x: F.concat(acc, x))
+    chunks = F.when(F.size(ids) > 0, F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    binary = _let(vocabulary.pieces, lambda pieces: joined(F.transform(chunks, lambda c: joined(F.transform(F.slice(ids, c * CHUNK + 1, CHUNK), lambda i: F.element_at(pieces, i + 1))))))
+    return F.decode(binary, "UTF-8")
 
 
 def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, same): whether decoding the ids gives the text back."""
-    vocabulary = Vocabulary(documents.sparkSession)
+    vocabulary = Vocabulary()
     return encoded(documents, key, text, vocabulary, (text,)).select(key, F.size("ids").alias("n_tokens"), (decoded(F.col("ids"), vocabulary) == F.coalesce(F.col(text), F.lit(""))).alias("same"))

@@ -356,6 +356,40 @@ def test_mix(spark):
     assert mixing.mixed(documents.limit(0), targets, plan)[0].count() == 0
 
 
+def test_shares_of_the_tables(spark, data):
+    """Every source of every mix has the tokens that its weight and its cap allow, to less than a document; the same each time."""
+    from pathlib import Path
+
+    from bookflow.session import table
+
+    folder = str(Path(data).parent / "sf0.01")
+    tables = [table(spark, folder, t) for t in ("documents", "mix_target", "mix_plan")]
+    rows = mixing.report(*tables).collect()
+    longest = {r["source"]: r["most"] for r in mixing.sizes(tables[0]).groupBy("source").agg({"n_tokens": "max"}).toDF("source", "most").collect()}
+    assert len(rows) == 35
+    for r in rows:
+        wanted = min(r["wanted_tokens"], r["available_tokens"] * r["max_repeats"])
+        assert wanted - longest.get(r["source"], 0) <= r["mixed_tokens"] <= wanted + 1 and r["most_repeats"] <= r["max_repeats"], r
+    again = {(r["mix_name"], r["source"]): r["mixed_tokens"] for r in mixing.report(*tables).collect()}
+    assert again == {(r["mix_name"], r["source"]): r["mixed_tokens"] for r in rows}
+
+
+def test_slots_follow_the_weights(spark):
+    """Draws add up to the slots of the mix and differ from the expectation by a few standard deviations at most; the map from turns to blocks is one to one."""
+    from pyspark.sql import functions as F
+
+    demand = spark.createDataFrame([("m", s, g) for s, g in (("a", 6e6), ("b", 3e6), ("c", 1e6))], "mix_name string, source string, granted double")
+    got = {r["source"]: r["slots"] for r in mixing.slots(demand).collect()}
+    n = sum(got.values())
+    assert n == -(-10**7 // mixing.BLOCK)
+    assert all(abs(got[s] - p * n) < 5 * (n * p * (1 - p)) ** 0.5 for s, p in (("a", 0.6), ("b", 0.3), ("c", 0.1))) and len(set(got.values())) == 3
+    for blocks in (1, 2, 97, 1000):
+        df = spark.range(blocks).withColumn("blocks", F.lit(blocks).cast("long")).withColumn("shift", F.lit(blocks // 3).cast("long"))
+        mapped = df.select("id", mixing._block_of(F.col("id"), F.col("blocks"), F.col("shift")).alias("b"), "blocks", "shift")
+        back = mapped.select("id", "b", F.pmod(F.col("b") * mixing._prime(F.col("blocks")) + F.col("shift"), F.col("blocks")).alias("t")).collect()
+        assert sorted(r["b"] for r in back) == list(range(blocks)) and all(r["t"] == r["id"] for r in back)
+
+
 # ---- p8 -------------------------------------------------------------------------------------------------------------
 
 
