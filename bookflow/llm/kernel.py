@@ -13,9 +13,11 @@ from functools import cache
 import numpy as np
 
 #: Flags of a code point, all found in one look-up.
-LETTER, MARK, DIGIT, SPACE, IDEOGRAPH, ENDER, FULL, CLOSER, BREAK, LATIN, PERSIAN = (1 << i for i in range(11))
+LETTER, MARK, DIGIT, SPACE, IDEOGRAPH, ENDER, FULL, CLOSER, BREAK, LATIN, PERSIAN, INVISIBLE = (1 << i for i in range(12))
 ENDERS, IDEOGRAPHIC, CLOSERS = ".!?…؟！？", "。", "\"”“»'’)]"
 BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+#: Characters without a width: soft hyphens, joiners, directions, byte order marks.
+UNSEEN = "\u00ad\ufeff" + "".join(chr(i) for a, b in ((0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064)) for i in range(a, b + 1))
 TOP = 0x20000  # code points beyond are treated as letters (they are CJK extensions)
 
 
@@ -46,7 +48,7 @@ def classes() -> dict[str, np.ndarray]:
     flags = np.zeros(TOP + 1, np.uint16)
     for bit, on in ((LETTER, letter), (MARK, mark), (DIGIT, digit >= 0), (SPACE, space), (IDEOGRAPH, ideograph)):
         flags[on] |= bit
-    for bit, chars in ((ENDER, ENDERS), (FULL, IDEOGRAPHIC), (CLOSER, CLOSERS), (BREAK, BREAKS), (PERSIAN, "پچژگکی")):
+    for bit, chars in ((ENDER, ENDERS), (FULL, IDEOGRAPHIC), (CLOSER, CLOSERS), (BREAK, BREAKS), (PERSIAN, "پچژگکی"), (INVISIBLE, UNSEEN)):
         flags[[ord(c) for c in chars]] |= bit
     flags[(np.arange(TOP + 1) < 0x250) & letter] |= LATIN
     return {"letter": letter, "mark": mark, "digit": digit, "lower": lower, "space": space, "ideograph": ideograph, "flags": flags}

@@ -40,38 +40,14 @@ MAX_OTHER_WORDS = 80
 LINES = "chapter_id long, line_no int, key long, n_words int, n_shingles int, trusted boolean, seed boolean, slot boolean, shingles binary, codes array<int>"
 
 
-def _prepared(text: str) -> str:
-    """Lower case without invisible characters and runs of blanks, so that literals can be found."""
-    text = text.lower()
-    for a, b in (("\xa0", " "), ("​", ""), ("‌", ""), ("‍", ""), ("﻿", ""), ("­", ""), ("\t", " ")):
-        if a in text:
-            text = text.replace(a, b)
-    while "  " in text:
-        text = text.replace("  ", " ")
-    return text
-
-
-def _hints():
-    """An automaton over all that a trusted line must contain: without a hit no line of a text needs the rules."""
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    begun = [b + w for w in R.STRONG for b in (" ", "\n", "(", "[", "*", "~")]  # a word's beginning, not a part of another
-    for w in [x for x, _ in R.LINES] + begun + ["lorem", "ipsum", "dolor", "amet", "consectetur", "tellus", "magna", "mauris", "felis", "orci", "urna", "risus", "nunc", "arcu", "porta"]:
-        a.add_word(w, True)
-    a.make_automaton()
-    return a
-
-
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hints = _hints()
     schema = pa.schema([("chapter_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("n_words", pa.int32()), ("n_shingles", pa.int32()), ("trusted", pa.bool_()), ("seed", pa.bool_()), ("slot", pa.bool_()), ("shingles", pa.binary()), ("codes", pa.list_(pa.int32()))])
     for batch in batches:
         for ids, texts in K.slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield from _lines_of(ids, texts, hints, schema)
+            yield from _lines_of(ids, texts, schema)
 
 
-def _lines_of(ids: list, texts: list[str], hints, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     slots = [i for i, t in zip(ids, texts) if R.has_slot(t)]
     if slots:  # a row of its own, since such a text may hold no word
         n = len(slots)
@@ -79,17 +55,21 @@ def _lines_of(ids: list, texts: list[str], hints, schema: pa.Schema) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.int64()), zero, zero, no, no, pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
     trusted: set[tuple[int, int]] = set()
     seeds: set[tuple[int, int]] = set()
-    for i, t in enumerate(texts):
-        if next(hints.iter("\n" + _prepared(t)), None) is not None:
-            for j, line in enumerate(t.split("\n")):
-                if kind := R.is_residue(line):
-                    trusted.add((i, j))
-                    if kind == R.WORDING:
-                        seeds.add((i, j))
-
     cp, starts = K.codepoints(texts)
     k, t = np.minimum(cp, K.TOP), K.classes()
     flags = t["flags"][k]
+    blank = (flags & K.SPACE) != 0
+    odd = (flags & K.INVISIBLE) != 0
+    odd |= blank & (cp != 32) & (cp != 10) & (cp != 13)
+    odd[1:] |= (cp[1:] == 32) & (cp[:-1] == 32)
+    odd[:-1] |= (cp[:-1] == 13) & (cp[1:] != 10)
+    odd = np.logical_or.reduceat(odd, starts[:-1]).tolist() if texts else []
+    for i, text in enumerate(texts):
+        for j, kind in R.residue_lines(text, odd[i]):
+            trusted.add((i, j))
+            if kind == R.WORDING:
+                seeds.add((i, j))
+
     digit = (flags & K.DIGIT) != 0
     ws, we = K.runs((flags & (K.LETTER | K.DIGIT | K.MARK)) != 0, (flags & K.IDEOGRAPH) != 0)
     if not len(ws):

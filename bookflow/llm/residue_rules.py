@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from functools import cache
 
+from bookflow.llm.kernel import UNSEEN
+
 #: A cheap test first: without one of these there is no slot.
 SLOT_HINTS = ("{", "%", "@@", "__", "[", "<", "&&", "undefined", "UNDEFINED", "Undefined")
 _WORD = r"[A-Za-z][A-Za-z0-9]*(?:[._-][A-Za-z0-9]+)*"
@@ -40,6 +42,8 @@ LATIN = frozenset(
     " nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum tellus felis porta mauris"
     " massa urna arcu nunc orci leo sem vitae risus ante eget vel at ac pellentesque vestibulum curabitur donec integer".split()
 )
+#: Words of it of which a line must have one: the longer ones, which hardly any other line has.
+MARKED = frozenset(w for w in LATIN if len(w) >= 5)
 #: Words that writers type to fill a field (fixed values).
 FILLERS = frozenset("asdf asdfgh qwerty qwertz foo bar baz xxx xxxx blah bla test tests testing tbd todo fixme tba placeholder placeholders dummy sample filler paste text here please ignore body paragraph content goes your chapter story".split())
 #: At least one of these must be there for a line of FILLERS to count.
@@ -124,7 +128,7 @@ LINES: tuple[tuple[str, str], ...] = (
     ("نتحقق من متصفحك", r"نتحقق من متصفحك"),
 )
 
-_INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
+_INVISIBLE = re.compile(f"[{UNSEEN}]")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -172,8 +176,50 @@ def is_residue(line: str) -> int:
     if any(compiled[i].match(line) for _, rules in automaton().iter(line) for i in rules):
         return WORDING
     words = _TOKEN.findall(line)
-    if len(words) >= 4 and sum(w in LATIN for w in words) >= 0.6 * len(words):
+    if len(words) >= 4 and any(w in MARKED for w in words) and sum(w in LATIN for w in words) >= 0.6 * len(words):
         return VOCABULARY
     if words and all(w in FILLERS for w in words) and any(w in STRONG for w in words) and (len(words) > 1 or words[0] in STRONG):
         return VOCABULARY
     return 0
+
+
+#: What ``cleaned`` changes beside case and a line's ends: where there is none of it, a text need not be folded.
+_ODD = re.compile(_INVISIBLE.pattern + r"|[^\S\n ]|  ")
+_BLANKS = re.compile(r"[^\S\n]+")
+#: The first word of a line, if it is one of FILLERS.
+_FIRST = re.compile(r"(?:(?!\n)[\W\d_])*(" + "|".join(sorted(FILLERS, key=len, reverse=True)) + r")(?![^\W\d_])")
+
+
+@cache
+def _hints():
+    """What a trusted line must contain: a literal of LINES, or a word of MARKED."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in {x for x, _ in LINES} | MARKED:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
+
+
+def residue_lines(text: str, odd: bool | None = None) -> list[tuple[int, int]]:
+    """(number, kind) of a text's lines that ``is_residue``. Only lines that may be are tried: every rule needs a literal or word
+    that ``_hints`` has, or a line whose first word is a filler, or a slot, and each is sought in the text as ``cleaned`` leaves it. ``odd``: whether it changes the text, if that is known."""
+    lines = text.split("\n")
+    low = text.replace("\r\n", "\n")
+    if _ODD.search(low) if odd is None else odd:
+        low = _BLANKS.sub(" ", _INVISIBLE.sub("", low))
+    low = low.lower()
+    parts = low.split("\n")
+    may = {j for j, p in enumerate(parts) if _FIRST.match(p)}
+    hits = [end - n + 1 for end, n in _hints().iter(low)]
+    if hits:
+        j, at = 0, len(parts[0])
+        for h in sorted(hits):
+            while h > at:
+                j += 1
+                at += 1 + len(parts[j])
+            may.add(j)
+    if any(h in text for h in SLOT_HINTS):
+        may |= {j for j, line in enumerate(lines) if any(h in line for h in SLOT_HINTS)}
+    return [(j, kind) for j in sorted(may) if (kind := is_residue(lines[j]))]

@@ -71,6 +71,24 @@ def test_story_lines(line):
     assert not residue_rules.is_residue(line)
 
 
+def test_no_line_is_passed_over():
+    """The quick search for lines that may be residue leaves out none that the rules name."""
+    rng = random.Random(8)
+    known = ["Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi.", "Sed do eiusmod tempor incididunt ut labore.", "“TBD”", "Coming\u2060 soon", "  *502\u2003Bad  Gateway*", "ASDF\tqwerty", "1) TODO", "_placeholder_", "x {{ y }}", "Please\xa0enable Java\u00adScript", "404", "null", "نص  تجريبي", "Lorem\u200b ipsum dolor sit amet", "it was a test", "the food was late", "He said: not found.", "", " ", "\x0btest\x0b"]
+    pieces = ["\r", "~ ", "* ", "\u200b", "\u00ad", " ", "  ", "\t", "\xa0", "”", "!", ".", "9", "_", "—"]
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.randrange(1, 9)):
+            x = rng.choice(known)
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(x) + 1)
+                x = x[:at] + rng.choice(pieces) + x[at:]
+            lines.append(x)
+        text = rng.choice(["\n", "\r\n", "\n\n"]).join(lines)
+        want = [(j, k) for j, line in enumerate(text.split("\n")) if (k := residue_rules.is_residue(line))]
+        assert residue_rules.residue_lines(text) == want, text
+
+
 def test_residue_chapters(spark):
     story = " ".join(f"Ann walked to town number {i} and bought bread." for i in range(30))
     long_notice = "Your session has expired because the reader was away for a long time and the server removed its token from the table of open readers tonight so please sign in again now"
