@@ -1,9 +1,10 @@
 """Lines that the documents of one site share: found by counting, and removed from each document.
 
 Copies of a document (rows of one id) are collapsed before counting. A line is boilerplate of a site if its letters
-occur in at least ``least`` and at least ``share`` of the site's documents. For each such line the operator also tells in
-how many clusters of equal documents and on how many dates it occurs, so that a text published again and again under new
-ids can be told from a notice.
+occur in at least ``least`` and at least ``share`` of the site's documents. What counts as a document is a setting
+(``by``): an id, or a cluster of documents whose letters are equal, whatever their ids, marks, numbers and spaces. By
+clusters a line must also occur on ``days`` dates. So a text that is published again and again under new ids is one
+document, and its lines are no boilerplate. ``p4_found`` counts ids, as this project's data define it.
 
 Cases: null and blank texts are no documents and count nowhere; lines without letters are never boilerplate; documents
 of unknown novels belong to no site and are left as they are; repeated rows of an id count once; an empty table gives an
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from bookflow.session import written
 
 LEAST, SHARE = 4, 0.03
+#: Dates on which a line must occur if clusters count.
+DAYS = 2
 #: Up to so many boilerplate lines are broadcast; there are about avg. lines per document / SHARE of them per site at most.
 BROADCAST_ROWS = 100_000
 
@@ -51,12 +54,16 @@ def site_lines(chapters: DataFrame, novels: DataFrame, clusters: bool = False) -
     return written(lines.join(sites, "novel_id").drop("novel_id"), "site-lines")
 
 
-def boilerplate_lines(lines: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(site, h, g, n_chapters, n_site): the lines that are frequent in their site."""
+def boilerplate_lines(lines: DataFrame, least: int = LEAST, share: float = SHARE, by: str = "chapter_id", days: int = 1) -> DataFrame:
+    """(site, h, g, n_chapters, n_site): the lines that are frequent in their site, counted ``by`` "chapter_id" or "cluster"."""
     # one row per document and line first; then every count is of rows, with partial sums before each shuffle
-    totals = lines.groupBy("site", "chapter_id").agg(F.lit(1)).groupBy("site").agg(F.count("*").alias("n_site"))
-    counts = lines.where("h is not null").groupBy("site", "h", "g", "chapter_id").agg(F.lit(1)).groupBy("site", "h", "g").agg(F.count("*").alias("n_chapters"))
-    return counts.where(F.col("n_chapters") >= least).join(totals, "site").where(F.col("n_chapters") >= share * F.col("n_site"))
+    totals = lines.groupBy("site", by).agg(F.lit(1)).groupBy("site").agg(F.count("*").alias("n_site"))
+    counts = lines.where("h is not null").groupBy("site", "h", "g", by).agg(F.lit(1)).groupBy("site", "h", "g").agg(F.count("*").alias("n_chapters"))
+    found = counts.where(F.col("n_chapters") >= least).join(totals, "site").where(F.col("n_chapters") >= share * F.col("n_site"))
+    if days > 1:
+        dates = lines.where("h is not null and day is not null").groupBy("site", "h", "g", "day").agg(F.lit(1)).groupBy("site", "h", "g").agg(F.count("*").alias("_days")).where(F.col("_days") >= days)
+        found = found.join(dates, ["site", "h", "g"]).drop("_days")
+    return found
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -65,10 +72,10 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def found(chapters: DataFrame, novels: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(chapter_id, line_no) of the lines that are boilerplate of their site."""
-    lines = site_lines(chapters, novels)
-    frequent = _small(boilerplate_lines(lines, least, share).select("site", "h", "g"))
+def found(chapters: DataFrame, novels: DataFrame, least: int = LEAST, share: float = SHARE, by: str = "chapter_id") -> DataFrame:
+    """(chapter_id, line_no) of the lines that are boilerplate of their site, counted ``by`` "chapter_id" or "cluster"."""
+    lines = site_lines(chapters, novels, clusters=by == "cluster")
+    frequent = _small(boilerplate_lines(lines, least, share, by, DAYS if by == "cluster" else 1).select("site", "h", "g"))
     return lines.where("h is not null").join(frequent, ["site", "h", "g"]).groupBy("chapter_id", "line_no").agg(F.lit(1)).select("chapter_id", "line_no")
 
 

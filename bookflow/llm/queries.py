@@ -49,6 +49,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.found(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "novel"))
 
 
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, counted over clusters of equal chapters and dates: republished chapters are no boilerplate."""
+    return boilerplate.found(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "novel"), by="cluster")
+
+
 def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each such line's counts: chapters, clusters of equal chapters, dates."""
     return boilerplate.statistics(table(spark, sf_dir, "chapter"), table(spark, sf_dir, "novel"))
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_segments": p3_segments,
     "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
     "p4_lines": p4_lines,
     "p4_clean": p4_clean,
     "p5_found": p5_found,
@@ -127,6 +133,13 @@ bad AS (SELECT site, k, n_chapters, n_site FROM freq JOIN total USING (site) WHE
 
 SQL: dict[str, str] = {
     "p4_found": _LINES + "SELECT DISTINCT chapter_id, CAST(line_no AS INT) AS line_no FROM line JOIN bad USING (site, k)",
+    "p4_clusters": r"""
+WITH ch AS (SELECT DISTINCT id, novel_id, raw_text, regexp_replace(lower(raw_text), '[^\p{L}\n]', '', 'g') AS whole, CAST(updated_at AS DATE) AS day FROM chapter WHERE regexp_matches(raw_text, '[^\s]')),
+num AS (SELECT ch.id, source_site AS site, whole, day, string_split(whole, chr(10)) AS p, unnest(range(len(string_split(whole, chr(10))))) AS line_no FROM ch JOIN novel ON novel.id = ch.novel_id),
+line AS (SELECT id AS chapter_id, site, whole, day, line_no, p[line_no + 1] AS k FROM num),
+total AS (SELECT site, count(DISTINCT whole) AS n_site FROM line GROUP BY site),
+bad AS (SELECT site, k FROM line JOIN total USING (site) WHERE k <> '' GROUP BY site, k, n_site HAVING count(DISTINCT whole) >= 4 AND count(DISTINCT whole) >= 0.03 * n_site AND count(DISTINCT day) >= 2)
+SELECT DISTINCT chapter_id, CAST(line_no AS INT) AS line_no FROM line JOIN bad USING (site, k)""",
     "p4_clean": _LINES
     + """SELECT chapter_id, CAST(count(*) - count(CASE WHEN bad.k IS NULL THEN 1 END) AS INT) AS n_removed,
   coalesce(string_agg(CASE WHEN bad.k IS NULL THEN text END, chr(10) ORDER BY line_no), '') AS clean_text

@@ -239,6 +239,19 @@ def test_boilerplate(spark):
     assert boilerplate.found(chapters(spark, []), novels).count() == 0
 
 
+def test_republished_chapters_are_no_boilerplate(spark):
+    """One chapter under eight ids: by ids all of its lines are frequent, by clusters only the notice that other chapters have too."""
+    import datetime
+
+    novels = spark.createDataFrame([(1, "a")], "id long, source_site string")
+    rows = [(i, f"The river rose, {i}.\nNobody slept that night.\nRead more at a.example") for i in range(8)] + [(20 + i, f"Story {chr(97 + i) * 4}.\nRead more at a.example") for i in range(5)]
+    df = spark.createDataFrame([(i, 1, t, datetime.datetime(2024, 1, 1 + i % 3)) for i, t in rows], "id long, novel_id long, raw_text string, updated_at timestamp")
+    by = lambda x: {(r["chapter_id"], r["line_no"]) for r in boilerplate.found(df, novels, by=x).collect()}
+    notices = {(i, t.count("\n")) for i, t in rows}
+    assert by("cluster") == notices
+    assert by("chapter_id") == notices | {(i, j) for i in range(8) for j in (0, 1)}
+
+
 # ---- p5 -------------------------------------------------------------------------------------------------------------
 
 
