@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,28 @@ MAX_OTHER_WORDS = 80
 LINES = "chapter_id long, line_no int, key long, n_words int, n_shingles int, trusted boolean, seed boolean, slot boolean, shingles binary, codes array<int>"
 
 
+@cache
+def _technical() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the technical words that stories hardly use, in order, and a small table of their lowest bits."""
+    words = sorted(R.TECHNICAL_ONLY)
+    cp, starts = K.codepoints(words)
+    hashes = np.sort(K.run_hashes(cp, starts[:-1], starts[1:] - 1))
+    table = np.zeros(1 << 16, bool)
+    table[hashes & np.uint64(0xFFFF)] = True
+    return hashes, table
+
+
+def _with_technical(words: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Lines with such a word that aren't far too long, in order; few others, by chance of a hash, do no harm."""
+    hashes, table = _technical()
+    at = np.flatnonzero(table[(words & np.uint64(0xFFFF)).astype(np.int64)])
+    found = at[hashes[np.minimum(np.searchsorted(hashes, words[at]), len(hashes) - 1)] == words[at]]
+    lines = line[found]
+    lines = lines[np.concatenate(([True], lines[1:] != lines[:-1]))] if len(lines) else lines
+    n = np.searchsorted(line, lines, side="right") - np.searchsorted(line, lines)
+    return lines[n <= 3 * R.MOST_BLANKS]
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("chapter_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.int64()), ("n_words", pa.int32()), ("n_shingles", pa.int32()), ("trusted", pa.bool_()), ("seed", pa.bool_()), ("slot", pa.bool_()), ("shingles", pa.binary()), ("codes", pa.list_(pa.int32()))])
     for batch in batches:
@@ -53,33 +76,37 @@ def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.Rec
         n = len(slots)
         no, zero = pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.int64()), zero, zero, no, no, pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
+    texts = [R.visible(t) for t in texts]  # words stand apart by what is seen
     trusted: set[tuple[int, int]] = set()
     seeds: set[tuple[int, int]] = set()
     cp, starts = K.codepoints(texts)
     k, t = np.minimum(cp, K.TOP), K.classes()
     flags = t["flags"][k]
     blank = (flags & K.SPACE) != 0
-    odd = (flags & K.INVISIBLE) != 0
-    odd |= blank & (cp != 32) & (cp != 10) & (cp != 13)
+    odd = blank & (cp != 32) & (cp != 10) & (cp != 13)
     odd[1:] |= (cp[1:] == 32) & (cp[:-1] == 32)
     odd[:-1] |= (cp[:-1] == 13) & (cp[1:] != 10)
     odd = np.logical_or.reduceat(odd, starts[:-1]).tolist() if texts else []
-    for i, text in enumerate(texts):
-        for j, kind in R.residue_lines(text, odd[i]):
-            trusted.add((i, j))
-            if kind == R.WORDING:
-                seeds.add((i, j))
-
     digit = (flags & K.DIGIT) != 0
     ws, we = K.runs((flags & (K.LETTER | K.DIGIT | K.MARK)) != 0, (flags & K.IDEOGRAPH) != 0)
-    if not len(ws):
-        return
     low = t["lower"][k]
     words = K.run_hashes(low, ws, we)
     digits = np.concatenate(([0], np.cumsum(digit)))
     words[digits[we] > digits[ws]] = 0  # a number, or a code of digits and letters: one word for all of them
     breaks = np.concatenate(([0], np.cumsum(cp == 10)))  # lines before each position, over the whole chunk
     line = breaks[ws]
+    may = _with_technical(words, line)
+    text_of = (np.searchsorted(starts, np.searchsorted(breaks, may), side="right") - 1).tolist()
+    by_text: dict[int, list[int]] = {}
+    for j, i in zip(may.tolist(), text_of):
+        by_text.setdefault(i, []).append(j - int(breaks[starts[i]]))
+    for i, text in enumerate(texts):
+        for j, kind in R.residue_lines(text, odd[i], by_text.get(i, ())):
+            trusted.add((i, j))
+            if kind == R.WORDING:
+                seeds.add((i, j))
+    if not len(ws):
+        return
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     last = np.append(first[1:], len(ws))
     n_words = last - first

@@ -1,12 +1,17 @@
 """Trusted labels of residue: what a line of a page must look like to be a template, filler, an error or a scripts notice.
 
-Rules are in two parts: a slot or a piece of template code counts wherever it stands; the other kinds count only where
-they make up a whole line, since stories also speak of such things.
+A slot or a piece of template code counts wherever it stands; the other kinds count only where they make up a whole line,
+since stories also speak of such things. There are three rules for lines, none of which knows the wording of a page:
+
+* technical words (TECHNICAL) make up most of a line, some of them words that stories hardly use;
+* filler: the customary Latin, or words that writers type to fill a field;
+* forms that machines write (LINES): status lines, exceptions, markup, identifiers, and a few set phrases of promise.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import cache
 
 from bookflow.llm.kernel import UNSEEN
@@ -49,83 +54,59 @@ FILLERS = frozenset("asdf asdfgh qwerty qwertz foo bar baz xxx xxxx blah bla tes
 #: At least one of these must be there for a line of FILLERS to count.
 STRONG = frozenset("asdf asdfgh qwerty qwertz foo xxx xxxx blah test testing tbd todo fixme tba placeholder placeholders dummy sample filler paste goes".split())
 
+#: Words of servers, browsers, scripts and unfinished pages, as they are said in English and Arabic; the second list has those that stories use as well.
+TECHNICAL_ONLY = frozenset(
+    "error exception traceback stack uncaught fatal undefined null nan unhandled syntax keyerror typeerror valueerror nameerror runtimeerror ioerror syntaxerror referenceerror attributeerror indexerror runtimeexception"
+    " server servers gateway proxy upstream nginx apache cloudflare database connection network timeout timed dns ssl http https html url cgi php"
+    " request requests requested website webpage reader reload refresh retry contact administrator"
+    " deleted unavailable available temporarily maintenance offline overloaded failed failure"
+    " denied forbidden blocked unauthorized permission login session expired token captcha verify verification checking ray id"
+    " browser javascript js script scripts cookies cookie enable enabled disable disabled switched blocker adblock extension noscript viewer internal service"
+    " coming placeholder draft dummy sample filler lorem ipsum tbd todo description paste added release filled"
+    " خطأ الخطأ خادم الخادم الخدمة متاحة متاح الصفحة المطلوبة موجودة الطلب طلبك حظر رمز المتصفح متصفحك تفعيل جافاسكربت السكربتات يرجى ثانية ثوان دقيقة تحميل التحقق نتحقق تسجيل الدخول انتهت الجلسة المعرف داخلي مؤقتا مؤقتًا مؤقت تجريبي محتوى وهمية سيضاف لعرض يدعم"
+    " تم بسبب كثرة المحاولات لملء المساحة فقط يوضع يصل المحتوى يكتب".split()
+)
+TECHNICAL_TOO = frozenset(
+    "warning back return try again home front here on down missing found moved gone busy wait please too many slow seconds minute minutes content chapter text ready written title body code event reference bad load loading turn sent"
+    " soon page pages refused trace editor errors support address link removed exist exists file security shield limit rate response resource site sites updated insert access oops broke broken wrong line call recent need needs must allowed run requires required"
+    " غير هنا الآن الفصل انتظر حاول فقرة عنوان وصف نص لاحقا لاحقًا قريبا قريبًا عذرا عذرًا".split()
+)
+#: Words that hold sentences together; they count for nothing.
+HOLDING = frozenset(
+    "the a an of to in is are was be has have had not no your you our we this that it its and or for with by at from as one does do did will cannot can so if then once until been more my me all but only after before into which could"
+    " في من على إلى لا هذا إن أن هو هي بعد حتى كان قد".split()
+)
+
 #: (a literal of the lower-cased line, a pattern that the whole cleaned line must match from its start)
 LINES: tuple[tuple[str, str], ...] = (
-    # filler and promises of text to come
-    ("text here", r"(?:your |the )?(?:chapter |story )?text (?:here|goes here)\b"),
-    ("goes here", r"(?:your |the )?[\w ]{0,30}goes here\b"),
-    ("coming soon", r"(?:chapter |content |text )?coming soon\b[.!… ]*$"),
-    ("reserved this page", r"we have reserved this page\b"),
-    ("is on its way", r"(?:chapter|part|episode|page) \S+ is on its way\b"),
-    ("placed here once", r"the (?:full )?text will be placed here\b"),
-    ("to be filled in", r"[(\[]?to be (?:filled in|added|written|announced)\b"),
-    ("replace before", r"[(\[]?draft\b.{0,60}\breplace before"),
-    ("body missing", r"[(\[]?draft\b.{0,60}\bbody missing"),
-    ("content will be", r"(?:the )?(?:content|chapter|text) will be (?:added|updated|available)\b"),
-    ("نص تجريبي", r"(?:هذا )?نص تجريبي"),
-    ("عنوان تجريبي", r"عنوان تجريبي"),
-    ("محتوى تجريبي", r"محتوى تجريبي"),
-    ("فقرة وهمية", r"فقرة وهمية"),
-    ("نص مؤقت", r".{0,60}هذا نص مؤقت"),
-    ("يكتب نص الفصل", r"هنا يكتب نص الفصل"),
-    ("سيضاف الفصل", r"سيضاف الفصل"),
-    # error pages and messages
-    ("bad gateway", r"(?:error )?(?:502 )?bad gateway\b"),
-    ("edge node", r"edge node \S+$"),
-    ("gateway timed out", r".{0,60}gateway time[ds]? ?out"),
-    ("gateway timeout", r".{0,60}gateway timeout"),
-    ("internal server error", r"(?:error )?(?:500 )?internal server error\b"),
-    ("not found", r"(?:error )?(?:404 )?(?:page |file |chapter )?not found\b[.! ]*(?:\(?\d*\)?)?$"),
-    ("does not exist on this server", r"the requested \S+ \S* ?does not exist on this server"),
-    ("this page is gone", r"we looked everywhere\b"),
-    ("reference ", r"reference [0-9a-f-]{6,}$"),
-    ("service temporarily unavailable", r"(?:error )?(?:503 )?service temporarily unavailable\b"),
-    ("service unavailable", r"(?:error )?(?:503 )?service unavailable\b"),
-    ("session has expired", r"your session has expired\b"),
-    ("<html", r"<html\b.*</"),
-    ("<title>", r"<(?:html|head|title|!doctype)\b"),
+    # status lines
+    *((w, rf"(?:error )?(?:[45]\d\d )?{w}\b[.! ]*(?:\(?\d*\)?)?$") for w in ("not found", "page not found", "bad gateway", "forbidden", "access denied", "internal server error", "service unavailable", "too many requests", "gateway timeout")),
+    *((str(n), rf"(?:error )?{n}$") for n in (400, 401, 403, 404, 410, 429, 500, 502, 503, 504)),
+    ("undefined", r"undefined$"),
+    ("null", r"null$"),
+    ("nan", r"nan$"),
+    # exceptions
     ("fatal error", r"(?:php )?fatal error:"),
-    ("uncaught", r"uncaught \w+"),
     ("traceback (most recent", r"traceback \(most recent call last\)"),
     ("file \"", r"file \"[^\"]+\", line \d+"),
-    ("keyerror", r"(?:\w+\.)*\w*(?:error|exception): "),
     ("error: ", r"(?:\w+\.)*\w*(?:error|exception): \S"),
     ("exception", r"(?:\w+\.)+\w*exception\b"),
-    ("database is away", r"database is (?:away|down|not available)\b"),
-    ("slow down!", r"slow down! you have sent\b"),
-    ("too many requests", r"(?:error )?(?:429 )?too many requests\b"),
-    ("access denied", r"access denied\b[.! ]*(?:\(?\d*\)?)?$"),
-    ("your request", r"your request \S+ was (?:refused|blocked|denied)\b"),
+    # markup and data
+    ("<html", r"<html\b.*</"),
+    ("<title>", r"<(?:html|head|title|!doctype)\b"),
+    ("<noscript>", r"<noscript>"),
     ("\"error\":", r"\{\s*\"error\"\s*:"),
-    ("something broke", r"(?:oops! )?something (?:broke|went wrong)\b"),
+    # identifiers that stand alone
+    *((f"{w} ", rf"{w} #?[0-9a-z-]*\d[0-9a-z-]*$") for w in ("reference", "event", "edge node", "ray", "المعرف:")),
+    # set phrases
     ("oops", r"oops! (?:something|an error)\b"),
-    ("event ", r"event [0-9a-f]{6,}$"),
-    ("go back to the front page", r"go back to the front page\b"),
-    ("forbidden", r"(?:error )?(?:403 )?forbidden\b[.! ]*$"),
-    ("undefined", r"undefined$"),
-    ("null", r"null$"),
-    ("nan", r"nan$"),
-    ("404", r"(?:error )?404$"),
-    ("الخدمة غير متاحة", r"الخدمة غير متاحة"),
-    ("الصفحة المطلوبة", r"عذر.{0,3}، الصفحة المطلوبة"),
-    ("رمز الخطأ", r"رمز الخطأ"),
-    ("خطأ داخلي في الخادم", r"خطأ داخلي في الخادم"),
-    ("تم حظر طلبك", r"تم حظر طلبك"),
-    ("المعرف: ", r"المعرف: [0-9a-f]{6,}$"),
-    # notices that scripts, cookies or another browser are needed
-    ("enable javascript", r"(?:please |you (?:need|have) to |must )?enable javascript\b"),
-    ("javascript", r"(?:your browser does not run|you need to turn on|cookies and|turn on|this (?:page|site|reader) (?:needs|requires)) javascript\b"),
-    ("javascript must be", r".{0,40}javascript must be (?:allowed|enabled)\b"),
-    ("js disabled", r"js disabled\b"),
-    ("of our viewer cannot load", r"build \S+ of our viewer cannot load"),
-    ("<noscript>", r"<noscript>"),
-    ("script blocker", r"turn off your script blocker\b"),
-    ("scripts switched on", r"this page works only with scripts switched on\b"),
-    ("checking your browser", r"checking your browser\b"),
-    ("this takes", r"this takes \d+ seconds\b"),
-    ("تفعيل جافاسكربت", r"(?:يرجى|يجب) تفعيل جافاسكربت"),
-    ("لا يدعم السكربتات", r"المتصفح لا يدعم السكربتات"),
-    ("نتحقق من متصفحك", r"نتحقق من متصفحك"),
+    ("session has expired", r"your session has expired\b"),
+    ("database is ", r"(?:the )?database is (?:away|down|not available)\b"),
+    ("text here", r"(?:your |the )?(?:chapter |story )?text here\b"),
+    ("goes here", r"(?:your |the )?[\w ]{0,30}goes here\b"),
+    ("coming soon", r"(?:chapter |content |text )?coming soon\b[.!… ]*$"),
+    ("is on its way", r"(?:chapter|part|episode|page) \S+ is on its way\b"),
+    ("content will be", r"(?:the )?(?:content|chapter|text) will be (?:added|updated|available)\b"),
 )
 
 _INVISIBLE = re.compile(f"[{UNSEEN}]")
@@ -157,6 +138,11 @@ def patterns() -> tuple[re.Pattern, ...]:
     return tuple(re.compile(p) for _, p in LINES)
 
 
+def visible(text: str) -> str:
+    """A text without the characters that nobody sees."""
+    return text if text.isascii() else _INVISIBLE.sub("", text)
+
+
 def has_slot(text: str) -> bool:
     return any(h in text for h in SLOT_HINTS) and bool(SLOT.search(text))
 
@@ -165,6 +151,25 @@ def has_slot(text: str) -> bool:
 WORDING, VOCABULARY = 1, 2
 
 
+_WORDS = re.compile(r"[\w\u064b-\u0652]+")
+#: A line of more words is no notice; one with a single strong word has no more than the second number. Nor is one of more blanks.
+MOST_WORDS, MOST_WITH_ONE, MOST_BLANKS = 30, 12, 60
+
+
+def is_technical(words, technical, only, holding):
+    """The rule of technical words, from counts (numbers or arrays of them): of words that are no numbers and longer than a character, of technical ones, of different ones that stories hardly use, and of those that hold sentences together."""
+    rest = words - holding
+    some = (only >= 2) & (5 * technical >= 3 * rest)
+    most = (only >= 1) & (4 * technical >= 3 * rest) & (rest >= 2) & (words <= MOST_WITH_ONE)
+    return (words <= MOST_WORDS) & (some | most)
+
+
+def technical(words: list[str]) -> bool:
+    words = [w for w in words if len(w) > 1 and not any(c.isdigit() for c in w)]
+    count = lambda s: sum(w in s for w in words)
+    return bool(is_technical(len(words), count(TECHNICAL_ONLY) + count(TECHNICAL_TOO), len(TECHNICAL_ONLY.intersection(words)), count(HOLDING)))
+
+
 def is_residue(line: str) -> int:
     """Whether one line, as a whole, is trusted residue, and how: 0, WORDING or VOCABULARY."""
     if has_slot(line):
@@ -175,6 +180,8 @@ def is_residue(line: str) -> int:
     compiled = patterns()
     if any(compiled[i].match(line) for _, rules in automaton().iter(line) for i in rules):
         return WORDING
+    if line.count(" ") <= MOST_BLANKS and technical(_WORDS.findall(line)):
+        return WORDING
     words = _TOKEN.findall(line)
     if len(words) >= 4 and any(w in MARKED for w in words) and sum(w in LATIN for w in words) >= 0.6 * len(words):
         return VOCABULARY
@@ -202,8 +209,8 @@ def _hints():
     return a
 
 
-def residue_lines(text: str, odd: bool | None = None) -> list[tuple[int, int]]:
-    """(number, kind) of a text's lines that ``is_residue``. Only lines that may be are tried: every rule needs a literal or word
+def residue_lines(text: str, odd: bool | None = None, may: Iterable[int] | None = None) -> list[tuple[int, int]]:
+    """(number, kind) of a text's lines that ``is_residue``. Only lines that may be are tried: those that ``may`` has (lines with a word of TECHNICAL_ONLY; all, if it is None), and every other rule needs a literal or word
     that ``_hints`` has, or a line whose first word is a filler, or a slot, and each is sought in the text as ``cleaned`` leaves it. ``odd``: whether it changes the text, if that is known."""
     lines = text.split("\n")
     low = text.replace("\r\n", "\n")
@@ -211,7 +218,8 @@ def residue_lines(text: str, odd: bool | None = None) -> list[tuple[int, int]]:
         low = _BLANKS.sub(" ", _INVISIBLE.sub("", low))
     low = low.lower()
     parts = low.split("\n")
-    may = {j for j, p in enumerate(parts) if _FIRST.match(p)}
+    may = {j for j, p in enumerate(parts) if p.count(" ") <= MOST_BLANKS and p.strip()} if may is None else set(may)
+    may |= {j for j, p in enumerate(parts) if _FIRST.match(p)}
     hits = [end - n + 1 for end, n in _hints().iter(low)]
     if hits:
         j, at = 0, len(parts[0])
