@@ -71,12 +71,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    slots = [i for i, t in zip(ids, texts) if R.has_slot(t)]
+    texts = [R.visible(t) for t in texts]  # words stand apart by what is seen
+    with_slot = [R.has_slot(t) for t in texts]
+    slots = [i for i, s in zip(ids, with_slot) if s]
     if slots:  # a row of its own, since such a text may hold no word
         n = len(slots)
         no, zero = pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.int64()), zero, zero, no, no, pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
-    texts = [R.visible(t) for t in texts]  # words stand apart by what is seen
     trusted: set[tuple[int, int]] = set()
     seeds: set[tuple[int, int]] = set()
     cp, starts = K.codepoints(texts)
@@ -101,7 +102,7 @@ def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.Rec
     for j, i in zip(may.tolist(), text_of):
         by_text.setdefault(i, []).append(j - int(breaks[starts[i]]))
     for i, text in enumerate(texts):
-        for j, kind in R.residue_lines(text, odd[i], by_text.get(i, ())):
+        for j, kind in R.residue_lines(text, odd[i], by_text.get(i, ()), with_slot[i]):
             trusted.add((i, j))
             if kind == R.WORDING:
                 seeds.add((i, j))

@@ -209,9 +209,9 @@ def _hints():
     return a
 
 
-def residue_lines(text: str, odd: bool | None = None, may: Iterable[int] | None = None) -> list[tuple[int, int]]:
+def residue_lines(text: str, odd: bool | None = None, may: Iterable[int] | None = None, slot: bool | None = None) -> list[tuple[int, int]]:
     """(number, kind) of a text's lines that ``is_residue``. Only lines that may be are tried: those that ``may`` has (lines with a word of TECHNICAL_ONLY; all, if it is None), and every other rule needs a literal or word
-    that ``_hints`` has, or a line whose first word is a filler, or a slot, and each is sought in the text as ``cleaned`` leaves it. ``odd``: whether it changes the text, if that is known."""
+    that ``_hints`` has, or a line whose first word is a filler, or a slot, and each is sought in the text as ``cleaned`` leaves it. ``odd``: whether it changes the text, ``slot``: whether the text has a slot, if that is known."""
     lines = text.split("\n")
     low = text.replace("\r\n", "\n")
     if _ODD.search(low) if odd is None else odd:
@@ -228,6 +228,6 @@ def residue_lines(text: str, odd: bool | None = None, may: Iterable[int] | None
                 j += 1
                 at += 1 + len(parts[j])
             may.add(j)
-    if any(h in text for h in SLOT_HINTS):
-        may |= {j for j, line in enumerate(lines) if any(h in line for h in SLOT_HINTS)}
+    if has_slot(text) if slot is None else slot:
+        may |= {j for j, line in enumerate(lines) if has_slot(line)}
     return [(j, kind) for j in sorted(may) if (kind := is_residue(lines[j]))]
