@@ -88,7 +88,7 @@ def slices(ids: list, texts: list[str], limit: int = 100_000) -> Iterator[tuple[
         yield ids[start:], texts[start:]
 
 
-LONG = 64
+LONG = 64  # a power of two
 
 
 def runs(inside: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -112,13 +112,16 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     size = ends - starts
     total = int(size.sum())
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    place = np.arange(total) - np.repeat(first, size)
-    at = np.repeat(starts, size) + place
+    at = np.arange(total)
+    place = at - np.repeat(first, size)
+    at += np.repeat(starts - first, size)
     with np.errstate(over="ignore"):
-        x = (values[at].astype(np.uint64) + np.uint64(1)) * multipliers(LONG, seed)[place % LONG]
-        x += (place // LONG).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if (size > LONG).any() else np.uint64(0)
-        if (size > LONG).any():
-            x = mix(x)
+        x = values[at].astype(np.uint64)
+        x += np.uint64(1)
+        x *= multipliers(LONG, seed)[place & (LONG - 1)]
+        if (size > LONG).any():  # only these runs: a hash must not depend on what stands beside it
+            long = np.repeat(size > LONG, size)
+            x[long] = mix(x[long] + (place[long] // LONG).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return mix(np.add.reduceat(x, first) + size.astype(np.uint64))
 
 

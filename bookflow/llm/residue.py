@@ -41,26 +41,38 @@ MAX_OTHER_WORDS = 80
 LINES = "chapter_id long, line_no int, key long, n_words int, n_shingles int, trusted boolean, seed boolean, slot boolean, shingles binary, codes array<int>"
 
 
+#: Classes of words by which lines are chosen that the rules must try.
+ONLY, TOO, HOLDING, FILLER, SHORT, ANY = (1 << i for i in range(6))
+
+
 @cache
-def _technical() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the technical words that stories hardly use, in order, and a small table of their lowest bits."""
-    words = sorted(R.TECHNICAL_ONLY)
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words that the rules know, in order, the classes of each, and a table of their lowest bits."""
+    of: dict[str, int] = {}
+    for words, c in ((R.TECHNICAL_ONLY, ONLY), (R.TECHNICAL_TOO, TOO), (R.HOLDING, HOLDING), (R.FILLERS, FILLER), (R.SHORT, SHORT), (R.ANY | R.MARKED, ANY)):
+        for w in words:
+            of[w] = of.get(w, 0) | c
+    words = list(of)
     cp, starts = K.codepoints(words)
-    hashes = np.sort(K.run_hashes(cp, starts[:-1], starts[1:] - 1))
+    hashes = K.run_hashes(cp, starts[:-1], starts[1:] - 1)
+    order = np.argsort(hashes)
     table = np.zeros(1 << 16, bool)
-    table[hashes & np.uint64(0xFFFF)] = True
-    return hashes, table
+    table[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+    return hashes[order], np.array([of[words[i]] for i in order], np.uint8), table
 
 
-def _with_technical(words: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Lines with such a word that aren't far too long, in order; few others, by chance of a hash, do no harm."""
-    hashes, table = _technical()
+def _to_try(words: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Which lines the rules must try: more than they name, never fewer."""
+    hashes, classes, table = _classes()
     at = np.flatnonzero(table[(words & np.uint64(0xFFFF)).astype(np.int64)])
-    found = at[hashes[np.minimum(np.searchsorted(hashes, words[at]), len(hashes) - 1)] == words[at]]
-    lines = line[found]
-    lines = lines[np.concatenate(([True], lines[1:] != lines[:-1]))] if len(lines) else lines
-    n = np.searchsorted(line, lines, side="right") - np.searchsorted(line, lines)
-    return lines[n <= 3 * R.MOST_BLANKS]
+    place = np.minimum(np.searchsorted(hashes, words[at]), len(hashes) - 1)
+    of = np.zeros(len(words), np.uint8)
+    of[at] = np.where(hashes[place] == words[at], classes[place], 0)
+    count = lambda c: np.add.reduceat((of & c) != 0, first, dtype=np.int32)
+    number = np.add.reduceat(words == 0, first, dtype=np.int32)
+    technical = (count(ONLY) > 0) & (n_words <= 3 * R.MOST_BLANKS) & (3 * count(ONLY | TOO) + count(HOLDING) + number >= n_words - number)
+    short = ((count(SHORT) > 0) & (n_words <= R.WORDS_OF_SHORT)) | ((number > 0) & (n_words <= 3))
+    return technical | short | (count(ANY) > 0) | (count(FILLER) + number == n_words)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +95,6 @@ def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.Rec
     cp, starts = K.codepoints(texts)
     k, t = np.minimum(cp, K.TOP), K.classes()
     flags = t["flags"][k]
-    blank = (flags & K.SPACE) != 0
-    odd = blank & (cp != 32) & (cp != 10) & (cp != 13)
-    odd[1:] |= (cp[1:] == 32) & (cp[:-1] == 32)
-    odd[:-1] |= (cp[:-1] == 13) & (cp[1:] != 10)
-    odd = np.logical_or.reduceat(odd, starts[:-1]).tolist() if texts else []
     digit = (flags & K.DIGIT) != 0
     ws, we = K.runs((flags & (K.LETTER | K.DIGIT | K.MARK)) != 0, (flags & K.IDEOGRAPH) != 0)
     low = t["lower"][k]
@@ -96,21 +103,20 @@ def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.Rec
     words[digits[we] > digits[ws]] = 0  # a number, or a code of digits and letters: one word for all of them
     breaks = np.concatenate(([0], np.cumsum(cp == 10)))  # lines before each position, over the whole chunk
     line = breaks[ws]
-    may = _with_technical(words, line)
-    text_of = (np.searchsorted(starts, np.searchsorted(breaks, may), side="right") - 1).tolist()
+    if not len(ws):
+        return
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    last = np.append(first[1:], len(ws))
+    n_words = last - first
+    tried = first[_to_try(words, first, n_words)]
     by_text: dict[int, list[int]] = {}
-    for j, i in zip(may.tolist(), text_of):
+    for i, j in zip((np.searchsorted(starts, ws[tried], side="right") - 1).tolist(), line[tried].tolist()):
         by_text.setdefault(i, []).append(j - int(breaks[starts[i]]))
     for i, text in enumerate(texts):
-        for j, kind in R.residue_lines(text, odd[i], by_text.get(i, ()), with_slot[i]):
+        for j, kind in R.residue_lines(text, by_text.get(i, ()), with_slot[i]):
             trusted.add((i, j))
             if kind == R.WORDING:
                 seeds.add((i, j))
-    if not len(ws):
-        return
-    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-    last = np.append(first[1:], len(ws))
-    n_words = last - first
     key = K.run_hashes(words, first, last, 11)
 
     # shingles: position i starts one if four more words of its line follow

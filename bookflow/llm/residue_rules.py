@@ -190,44 +190,28 @@ def is_residue(line: str) -> int:
     return 0
 
 
-#: What ``cleaned`` changes beside case and a line's ends: where there is none of it, a text need not be folded.
-_ODD = re.compile(_INVISIBLE.pattern + r"|[^\S\n ]|  ")
-_BLANKS = re.compile(r"[^\S\n]+")
-#: The first word of a line, if it is one of FILLERS.
-_FIRST = re.compile(r"(?:(?!\n)[\W\d_])*(" + "|".join(sorted(FILLERS, key=len, reverse=True)) + r")(?![^\W\d_])")
-
-
-@cache
-def _hints():
-    """What a trusted line must contain: a literal of LINES, or a word of MARKED."""
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for w in {x for x, _ in LINES} | MARKED:
-        a.add_word(w, len(w))
-    a.make_automaton()
-    return a
-
-
-def residue_lines(text: str, odd: bool | None = None, may: Iterable[int] | None = None, slot: bool | None = None) -> list[tuple[int, int]]:
-    """(number, kind) of a text's lines that ``is_residue``. Only lines that may be are tried: those that ``may`` has (lines with a word of TECHNICAL_ONLY; all, if it is None), and every other rule needs a literal or word
-    that ``_hints`` has, or a line whose first word is a filler, or a slot, and each is sought in the text as ``cleaned`` leaves it. ``odd``: whether it changes the text, ``slot``: whether the text has a slot, if that is known."""
+#: A word of each literal of LINES: of those whose patterns hold for short lines only (WORDS_OF_SHORT words at most), and of the others. Words that only
+#: end in "error" or "exception" are sought as parts.
+SHORT = frozenset("found gateway forbidden denied server unavailable requests timeout undefined null nan reference event node ray المعرف coming".split())
+ANY = frozenset("fatal traceback file html title noscript error oops text goes way content expired database".split())
+WORDS_OF_SHORT = 12
+PARTS = ("error: ", "exception")
+
+
+def residue_lines(text: str, may: Iterable[int] | None = None, slot: bool | None = None) -> list[tuple[int, int]]:
+    """(number, kind) of a text's lines that ``is_residue``.
+
+    ``may``: lines that are to be tried, besides those with a slot or one of PARTS; all, if it is None. ``slot``: whether
+    the text has a slot, if that is known."""
+    low = text.lower()
+    parts = any(p in low for p in PARTS)
+    slot = has_slot(text) if slot is None else slot
+    if may is not None and not may and not slot and not parts:
+        return []
     lines = text.split("\n")
-    low = text.replace("\r\n", "\n")
-    if _ODD.search(low) if odd is None else odd:
-        low = _BLANKS.sub(" ", _INVISIBLE.sub("", low))
-    low = low.lower()
-    parts = low.split("\n")
-    may = {j for j, p in enumerate(parts) if p.count(" ") <= MOST_BLANKS and p.strip()} if may is None else set(may)
-    may |= {j for j, p in enumerate(parts) if _FIRST.match(p)}
-    hits = [end - n + 1 for end, n in _hints().iter(low)]
-    if hits:
-        j, at = 0, len(parts[0])
-        for h in sorted(hits):
-            while h > at:
-                j += 1
-                at += 1 + len(parts[j])
-            may.add(j)
-    if has_slot(text) if slot is None else slot:
-        may |= {j for j, line in enumerate(lines) if has_slot(line)}
-    return [(j, kind) for j in sorted(may) if (kind := is_residue(lines[j]))]
+    tried = set(range(len(lines)) if may is None else may)
+    if slot:
+        tried |= {j for j, line in enumerate(lines) if has_slot(line)}
+    if parts:
+        tried |= {j for j, line in enumerate(lines) if any(p.strip() in line.lower() for p in PARTS)}
+    return [(j, kind) for j in sorted(tried) if (kind := is_residue(lines[j]))]
