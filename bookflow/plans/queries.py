@@ -373,14 +373,14 @@ def novel_listing(s, d):
     return table(s, d, "novel").select(F.col("id").alias("novel_id"), "title", "source_url", "source_site", "author", "cover_url", "status", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
 
 
-@query("SELECT n.id AS novel_id, n.title, count(c.id) AS n_chapters, coalesce(string_agg(c.idx || ':' || c.id || ':' || c.status || ':' || (CASE WHEN coalesce(c.translated_text, '') <> '' THEN 1 ELSE 0 END), '|' ORDER BY c.idx, c.id), '') AS chapters FROM novel n LEFT JOIN cur c ON c.novel_id = n.id GROUP BY n.id, n.title")
+@query("SELECT n.id AS novel_id, n.title, CAST(coalesce(floor(c.idx / 200), 0) AS BIGINT) AS page, count(c.id) AS n_chapters, coalesce(string_agg(c.idx || ':' || c.id || ':' || c.status || ':' || (CASE WHEN coalesce(c.translated_text, '') <> '' THEN 1 ELSE 0 END), '|' ORDER BY c.idx, c.id), '') AS chapters FROM novel n LEFT JOIN cur c ON c.novel_id = n.id GROUP BY ALL")
 def novel_detail(s, d):
-    """Each book with its chapters nested in order; here written as one string."""
-    c = chapters(s, d).select("novel_id", F.struct("idx", "id", "status", (F.coalesce("translated_text", F.lit("")) != "").cast("int").alias("has")).alias("x"))
-    nested = c.groupBy("novel_id").agg(F.count("*").alias("n_chapters"), F.array_sort(F.collect_list("x")).alias("x"))
-    shown = F.array_join(F.transform("x", lambda x: F.concat_ws(":", x["idx"], x["id"], x["status"], x["has"])), "|")
-    n = table(s, d, "novel").select(F.col("id").alias("novel_id"), "title").join(nested, "novel_id", "left")
-    return n.select("novel_id", "title", F.coalesce("n_chapters", F.lit(0)).cast("long").alias("n_chapters"), F.coalesce(shown, F.lit("")).alias("chapters"))
+    """Each book with its chapters nested in order, in pages, so that no row holds a whole book; here written as strings."""
+    c = chapters(s, d).select("novel_id", "idx", F.struct("idx", "id", "status", (F.coalesce("translated_text", F.lit("")) != "").cast("int").alias("has")).alias("x"))
+    shown = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["idx"], x["id"], x["status"], x["has"])), "|")
+    pages = _listed(c, F.col("x")).select("novel_id", "page", F.size("items").alias("n"), shown.alias("shown"))
+    n = table(s, d, "novel").select(F.col("id").alias("novel_id"), "title").join(pages, "novel_id", "left")
+    return n.select("novel_id", "title", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("n", F.lit(0)).cast("long").alias("n_chapters"), F.coalesce("shown", F.lit("")).alias("chapters"))
 
 
 @query("SELECT id AS chapter_id, CASE status WHEN 'pending' THEN 'Pending' WHEN 'scraped' THEN 'Scraped' WHEN 'translating' THEN 'Translating' WHEN 'translated' THEN 'Translated' WHEN 'failed' THEN 'Failed' ELSE status END AS label, idx + 1 AS place, coalesce(translated_text, '') <> '' AS has_translation FROM cur")
