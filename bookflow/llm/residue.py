@@ -42,14 +42,14 @@ LINES = "chapter_id long, line_no int, key long, n_words int, n_shingles int, tr
 
 
 #: Classes of words by which lines are chosen that the rules must try.
-ONLY, TOO, HOLDING, FILLER, SHORT, ANY = (1 << i for i in range(6))
+ONLY, FILLER, SHORT, ANY = (1 << i for i in range(4))
 
 
 @cache
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words that the rules know, in order, the classes of each, and a table of their lowest bits."""
     of: dict[str, int] = {}
-    for words, c in ((R.TECHNICAL_ONLY, ONLY), (R.TECHNICAL_TOO, TOO), (R.HOLDING, HOLDING), (R.FILLERS, FILLER), (R.SHORT, SHORT), (R.ANY | R.MARKED, ANY)):
+    for words, c in ((R.TECHNICAL_ONLY, ONLY), (R.FILLERS, FILLER), (R.SHORT, SHORT), (R.ANY | R.MARKED, ANY)):
         for w in words:
             of[w] = of.get(w, 0) | c
     words = list(of)
@@ -61,7 +61,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[order], np.array([of[words[i]] for i in order], np.uint8), table
 
 
-def _to_try(words: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+def _to_try(words: np.ndarray, sizes: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """Which lines the rules must try: more than they name, never fewer."""
     hashes, classes, table = _classes()
     at = np.flatnonzero(table[(words & np.uint64(0xFFFF)).astype(np.int64)])
@@ -70,7 +70,8 @@ def _to_try(words: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> np.nda
     of[at] = np.where(hashes[place] == words[at], classes[place], 0)
     count = lambda c: np.add.reduceat((of & c) != 0, first, dtype=np.int32)
     number = np.add.reduceat(words == 0, first, dtype=np.int32)
-    technical = (count(ONLY) > 0) & (n_words <= 3 * R.MOST_BLANKS) & (3 * count(ONLY | TOO) + count(HOLDING) + number >= n_words - number)
+    counted = np.add.reduceat((words != 0) & (sizes > 1), first, dtype=np.int32)  # a word of the rules may be several here, where an underscore joins them
+    technical = (count(ONLY) > 0) & (counted <= 3 * R.MOST_WORDS)
     short = ((count(SHORT) > 0) & (n_words <= R.WORDS_OF_SHORT)) | ((number > 0) & (n_words <= 3))
     return technical | short | (count(ANY) > 0) | (count(FILLER) + number == n_words)
 
@@ -108,7 +109,7 @@ def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.Rec
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     last = np.append(first[1:], len(ws))
     n_words = last - first
-    tried = first[_to_try(words, first, n_words)]
+    tried = first[_to_try(words, we - ws, first, n_words)]
     by_text: dict[int, list[int]] = {}
     for i, j in zip((np.searchsorted(starts, ws[tried], side="right") - 1).tolist(), line[tried].tolist()):
         by_text.setdefault(i, []).append(j - int(breaks[starts[i]]))
