@@ -9,7 +9,7 @@ from bookflow.functions import html
 from bookflow.functions import text as X
 from bookflow.functions import urls as U
 from bookflow.operators import refs, sites, state
-from bookflow.plans.queries import BOOK, CUR, NATIVE, _host, _path, _LINES, _settings, chapters, env_parse, query, strip, with_native
+from bookflow.plans.queries import BOOK, CUR, NATIVE, _host, _path, _LINES, _settings, available, chapters, env_parse, query, strip
 from bookflow.session import table
 
 # ---- links ----------------------------------------------------------------------------------------------------------
@@ -206,5 +206,5 @@ def novel_by_id(s, d):
 @query(f"WITH {CUR}, {NATIVE} SELECT c.id AS chapter_id, CASE WHEN n.native AND coalesce({strip('raw_text')} <> '', false) THEN 'Ready (Arabic)' WHEN coalesce({strip('translated_text')} <> '', false) THEN 'Yes' ELSE '—' END AS ready, c.status IN ('failed') AS alarming FROM cur c JOIN native n ON n.id = novel_id")
 def ready_labels(s, d):
     """What a chapter's row says about its text, and whether its state asks for attention."""
-    label = F.when(F.col("native") & X.not_blank(F.col("raw_text")), "Ready (Arabic)").when(X.not_blank(F.col("translated_text")), "Yes").otherwise("—")
-    return with_native(s, d).select(F.col("id").alias("chapter_id"), label.alias("ready"), F.col("status").isin("failed").alias("alarming"))
+    label = F.when(F.col("native") & F.col("has_raw"), "Ready (Arabic)").when(F.col("has_translation"), "Yes").otherwise("—")
+    return available(s, d).select(F.col("id").alias("chapter_id"), label.alias("ready"), F.col("status").isin("failed").alias("alarming"))

@@ -13,7 +13,7 @@ from bookflow.functions import text as X
 from bookflow.functions import urls as U
 from bookflow.operators import epub, errors, glossary, refs, sites, state, translate
 from bookflow.schemas import ACTIVE_JOBS, JOB, TO_SCRAPE
-from bookflow.session import shared_folder, table, written
+from bookflow.session import shared_folder, table
 from bookflow.sources import snapshots
 from bookflow.streaming import ingest
 
@@ -56,6 +56,13 @@ def with_native(s: SparkSession, d: str) -> DataFrame:
     return chapters(s, d).join(novels_native(s, d).select(F.col("id").alias("novel_id"), "native"), "novel_id")
 
 
+def available(s: SparkSession, d: str) -> DataFrame:
+    """Current chapters without their texts: whether they have each, and whether there is one to print. Texts are looked at where they are read and go no further."""
+    flags = table(s, d, "chapter").select("id", "novel_id", "idx", "title", "status", "updated_at", X.not_blank(F.col("raw_text")).alias("has_raw"), X.not_blank(F.col("translated_text")).alias("has_translation"))
+    c = state.current(flags).join(novels_native(s, d).select(F.col("id").alias("novel_id"), "native"), "novel_id")
+    return c.withColumn("available", F.col("has_translation") | (F.col("native") & F.col("has_raw")))
+
+
 NATIVE = "native AS (SELECT n.*, coalesce(s.is_native_arabic, false) AS native FROM novel n LEFT JOIN site s ON s.site_id = n.source_site)"
 
 # ---- statistics -----------------------------------------------------------------------------------------------------
@@ -69,12 +76,12 @@ def chapter_stats(s, d):
 
 @query(f"WITH {CUR}, {NATIVE} SELECT novel_id, count(*) AS total, count(*) FILTER (coalesce({strip('raw_text')} <> '', false)) AS ready FROM cur JOIN native n ON n.id = novel_id WHERE n.native GROUP BY novel_id")
 def native_ready_stats(s, d):
-    return with_native(s, d).where("native").groupBy("novel_id").agg(F.count("*").alias("total"), F.count_if(X.not_blank(F.col("raw_text"))).alias("ready"))
+    return available(s, d).where("native").groupBy("novel_id").agg(F.count("*").alias("total"), F.count_if("has_raw").alias("ready"))
 
 
 @query(f"WITH {CUR}, {NATIVE} SELECT novel_id, count(*) FILTER (coalesce({strip('translated_text')} <> '', false) OR (n.native AND coalesce({strip('raw_text')} <> '', false))) AS available FROM cur JOIN native n ON n.id = novel_id GROUP BY novel_id")
 def epub_available(s, d):
-    return with_native(s, d).groupBy("novel_id").agg(F.count_if(state.effective_text(F.col("native")).isNotNull()).alias("available"))
+    return available(s, d).groupBy("novel_id").agg(F.count_if("available").alias("available"))
 
 
 @query("SELECT n.id AS novel_id, count(c.id) AS n_pending FROM novel n LEFT JOIN cur c ON c.novel_id = n.id AND c.status IN ('scraped', 'translating', 'failed') GROUP BY n.id")
@@ -338,17 +345,17 @@ def paragraph_html(s, d):
 SELECT novel_id, id AS chapter_id, printf('text/chapter_%04d.xhtml', idx) AS file_name, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) AS INT) AS place, title, {_paragraphs('text', 'chr(10) || chr(10)')} AS html FROM use WHERE text IS NOT NULL""")
 def epub_chapters(s, d):
     """The chapters of each book's package: in order, with their file names and markup."""
-    use = with_native(s, d).withColumn("text", state.effective_text(F.col("native"))).where("text is not null").select("novel_id", "id", "idx", "title", X.paragraphs(F.col("text")).alias("html"))
-    use = written(use, "package-chapters")  # the texts are made once; places are numbered on narrow rows
-    placed = refs.reindexed(use.select("novel_id", "id", "idx"), "novel_id", F.col("idx"), F.col("id"), bucket=refs.span(F.col("idx")), name="place", start=1).select("id", "place")
-    return use.join(placed, "id").select("novel_id", F.col("id").alias("chapter_id"), X.chapter_file(F.col("idx")).alias("file_name"), "place", "title", "html")
+    # places are numbered on narrow rows; texts are shuffled once, by id, where both meet
+    placed = refs.reindexed(available(s, d).where("available").select("novel_id", "id", "idx"), "novel_id", F.col("idx"), F.col("id"), bucket=refs.span(F.col("idx")), name="place", start=1).select("id", "place")
+    use = with_native(s, d).select("novel_id", "id", "idx", "title", state.effective_text(F.col("native")).alias("text"))
+    return use.join(placed, "id").select("novel_id", F.col("id").alias("chapter_id"), X.chapter_file(F.col("idx")).alias("file_name"), "place", "title", X.paragraphs(F.col("text")).alias("html"))
 
 
 @query(f"""WITH {CUR}, {NATIVE}, use AS (SELECT c.novel_id, c.id, c.idx, c.title FROM cur c JOIN native n ON n.id = novel_id WHERE coalesce({strip('translated_text')} <> '', false) OR (n.native AND coalesce({strip('raw_text')} <> '', false)))
 SELECT novel_id, CAST(row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) AS INT) AS place, 'chapter-' || row_number() OVER (PARTITION BY novel_id ORDER BY idx, id) AS anchor, title FROM use
 UNION ALL SELECT DISTINCT u.novel_id, 0, 'cover', n.title FROM use u JOIN novel n ON n.id = u.novel_id""")
 def epub_toc(s, d):
-    use = with_native(s, d).where(state.effective_text(F.col("native")).isNotNull()).select("novel_id", "id", "idx", "title")
+    use = available(s, d).where("available").select("novel_id", "id", "idx", "title")
     placed = refs.reindexed(use, "novel_id", F.col("idx"), F.col("id"), bucket=refs.span(F.col("idx")), name="place", start=1)
     c = placed.select("novel_id", "place", F.concat(F.lit("chapter-"), F.col("place").cast("string")).alias("anchor"), "title")
     cover = c.select("novel_id").distinct().join(table(s, d, "novel").select(F.col("id").alias("novel_id"), "title"), "novel_id").select("novel_id", F.lit(0).alias("place"), F.lit("cover").alias("anchor"), "title")
