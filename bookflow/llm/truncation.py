@@ -288,8 +288,9 @@ def _odds(rows: DataFrame, column: str, counts: DataFrame, own_end: int = 0, own
     each = rows.where(F.col(column).isNotNull()).select("chapter_id", F.posexplode(column).alias("level", "ctx")).join(counts, "ctx", "left")
     seen = lambda c, own: F.greatest(F.coalesce(c, F.lit(0)) - own, F.lit(0)).cast("double")
     pair = F.array_sort(F.collect_list(F.struct("level", seen("n_end", own_end).alias("e"), seen("n_on", own_on).alias("o"))))  # one row per level
-    p = F.aggregate(pair, F.lit(PRIOR), lambda acc, x: (x["e"] + BACKOFF * acc) / (x["e"] + x["o"] + BACKOFF))
-    return each.groupBy("chapter_id").agg(p.alias("p")).select("chapter_id", F.log(F.col("p") / (1 - F.col("p"))).alias("log_odds"))
+    # the share that ends and the share that goes on, each by itself: 1 less a share that rounds to 1 is 0, which has no logarithm
+    share = lambda outcome, prior: F.aggregate(pair, F.lit(prior), lambda acc, x: (x[outcome] + BACKOFF * acc) / (x["e"] + x["o"] + BACKOFF))
+    return each.groupBy("chapter_id").agg(share("e", PRIOR).alias("p"), share("o", 1 - PRIOR).alias("q")).select("chapter_id", (F.log("p") - F.log("q")).alias("log_odds"))
 
 
 def best_threshold(whole: np.ndarray, inner: np.ndarray) -> float:

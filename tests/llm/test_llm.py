@@ -1,7 +1,9 @@
 """The training-data operators on small fixtures and against brute force."""
 
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -190,6 +192,21 @@ def test_thresholds_lie_between_the_kinds():
     assert 4 < truncation.best_threshold(whole, inner) - truncation.LOWEST <= 6
 
 
+def test_log_odds_of_counts_of_any_size(spark):
+    """Ends (or places that go on) seen so often that their share rounds to 1 have odds all the same."""
+    n = len(truncation.LEVELS)
+    rows = spark.createDataFrame([(1, list(range(n))), (2, list(range(n, 2 * n))), (3, list(range(2 * n, 3 * n)))], "chapter_id long, contexts array<long>")
+    seen = [(10**5, 0), (0, 10**5), (3, 1)]
+    counts = spark.createDataFrame([(k * n + j, *seen[k]) for k in range(3) for j in range(n)], "ctx long, n_end long, n_on long")
+    got = {r["chapter_id"]: r["log_odds"] for r in truncation._odds(rows, "contexts", counts).collect()}
+    for k, (e, o) in enumerate(seen):
+        p, q = Fraction(str(truncation.PRIOR)), 1 - Fraction(str(truncation.PRIOR))
+        for _ in range(n):
+            p, q = (x + Fraction(truncation.BACKOFF) * y for x, y in ((e, p), (o, q)))
+            p, q = p / (p + q), q / (p + q)
+        assert got[k + 1] == pytest.approx(math.log(p) - math.log(q), abs=1e-6)
+
+
 def test_cuts_in_two_languages(spark):
     """Each language of a column has its cuts found by its own threshold."""
     rng = random.Random(7)
