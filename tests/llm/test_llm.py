@@ -293,6 +293,13 @@ def test_republished_chapters_are_no_boilerplate(spark):
 # ---- p5 -------------------------------------------------------------------------------------------------------------
 
 
+def test_pairs_of_sentences_that_end_very_many_texts(spark):
+    two = [("Nobody carried the old lamp to the gate of the town.", "لم يحمل أحد المصباح القديم إلى بوابة المدينة الكبيرة."), ("Seven merchants counted silver coins until their boat left.", "عد سبعة تجار نقودا فضية حتى غادر قاربهم في الصباح الباكر.")]
+    same = chapters(spark, [(i, 1, *two[i % 2]) for i in range(4000)])
+    got = alignment.found(same, spark.createDataFrame([], "chapter_id long"), truncation.found(same))
+    assert got.distinct().count() == 4000
+
+
 def test_alignment(spark):
     rng = random.Random(9)
     nouns = {f"noun{chr(97 + i)}{chr(110 - i)}": f"اسم{chr(0x628 + i)}{chr(0x641 - i % 3)}" for i in range(12)}
