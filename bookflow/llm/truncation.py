@@ -5,12 +5,11 @@ Method: a backward character n-gram model. For every position of every sentence
 contexts to short ones, the log-odds that a sentence may end behind a given context. A text whose end carries no end mark
 is cut if the log-odds of its final context lie below the threshold of its language and column.
 
-Thresholds come from the column itself (``thresholds``): of texts that a mark ends, the log-odds of the end without its mark
+Thresholds come from the column itself (``thresholds``): of all texts that a mark ends, the log-odds of the end without its mark
 are set against those of a place some characters before it, each without what the text itself adds to the counts; the
-threshold of a language is where both kinds of error are fewest. It is a fit on a bounded sample of such texts
-(``CALIBRATION``); languages with few of them take the threshold of all.
+threshold of a language is where both kinds of error are fewest. Languages with few such texts take the threshold of all.
 
-Only counts of contexts that end some text in doubt, or in that sample, are needed. Their hashes go into a bitmap of fixed size that is sent
+Only counts of the contexts at the ends of texts and at those places are needed. Their hashes go into a bitmap that is sent
 to all tasks; each task counts what passes the bitmap and sends sums; the exact hashes are compared in the last join.
 
 What stands behind the end is looked through: blanks, dividers, a sign-off line (a short line that ends many texts and is
@@ -38,16 +37,15 @@ from bookflow.session import written
 LEVELS = (3, 6, 10, 16, 24, 36)
 #: Weight of the shorter context when a longer one is seen seldom, and the odds before anything is seen.
 BACKOFF, PRIOR = 2.0, 0.02
-#: Texts in the sample that thresholds are fitted on, about; those of other scripts than the plain Arabic one count RARE times as much.
-CALIBRATION, RARE = 8_000, 8
-#: A language has a threshold of its own with so many texts in the sample; without any text the threshold is DEFAULT.
+#: A language has a threshold of its own with so many texts that a mark ends; without any text the threshold is DEFAULT.
 LEAST_TEXTS, DEFAULT = 40, -2.0
 #: Log-odds are counted in bins of a tenth between these; thresholds whose errors differ by no more than FLAT are equally good.
 #: Of these the one UPPER of the way up is taken: whole ends lie close together, other places far apart, so the lower end says little.
 LOWEST, HIGHEST, FLAT, UPPER = -6.0, 2.0, 0.005, 0.75
 #: The place before the end that is set against it lies so many characters back at most.
 BACK = 60
-FILTER_BITS = 1 << 24
+#: Bits of the bitmap for each context, and their least and greatest number (2 and 16 MB): a power of two. It changes what is counted in vain, no result.
+BITS, LEAST_BITS, MOST_BITS = 8, 1 << 24, 1 << 27
 #: A line is a sign-off if it ends so many texts and so large a share of them.
 SIGNOFF_LEAST, SIGNOFF_SHARE = 3, 0.0005
 #: Marks and closing quotes at the end of a text are looked for in so many characters.
@@ -139,7 +137,6 @@ def _languages(texts: list[str]) -> list[str | None]:
 
 
 TAILS = "chapter_id long, lang string, ended boolean, broken boolean, line long, line_ctx long, contexts array<long>, before_ended boolean, before_contexts array<long>, whole_contexts array<long>, inner_contexts array<long>"
-_OTHER_SCRIPT = re.compile("[A-Za-zپچژگکی]")
 
 
 def _state(text: str) -> tuple[bool, str]:
@@ -160,15 +157,14 @@ def _last_contexts(texts: list[str]) -> list[list[int] | None]:
     return out
 
 
-def _sampled(i: int, tail: str, share: float) -> int:
-    """0 if a text is not in the sample, else how many characters before its end the other place lies; by the hash of its id."""
+def _back(i: int, size: int) -> int:
+    """How many characters before the end of a text of this size the other place lies; by the hash of its id."""
     h = i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
     h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-    share *= RARE if len(_OTHER_SCRIPT.findall(tail)) > 0.02 * len(tail) else 1
-    return 1 + (h >> 8) % BACK if (h >> 40) < share * 2**24 else 0
+    return 1 + (h >> 8) % min(BACK, size - 1)
 
 
-def _tails(share: float):
+def _tails():
     kinds = [("chapter_id", pa.int64()), ("lang", pa.string()), ("ended", pa.bool_()), ("broken", pa.bool_()), ("line", pa.int64()), ("line_ctx", pa.int64()), ("contexts", pa.list_(pa.int64())), ("before_ended", pa.bool_()), ("before_contexts", pa.list_(pa.int64())), ("whole_contexts", pa.list_(pa.int64())), ("inner_contexts", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +172,7 @@ def _tails(share: float):
             for ids, texts in K.slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows: list[list] = []
                 doubt: list[tuple[int, str, str, str, bool]] = []
-                sample: list[tuple[int, str, int]] = []
+                whole_ends: list[tuple[int, str, int]] = []
                 for i, t in zip(ids, texts):
                     s = _stripped(t)
                     if not s:
@@ -188,13 +184,13 @@ def _tails(share: float):
                         head, _, line = bare.rpartition("\n")
                         before_ended, before = _state(_stripped(head)) if head else (False, "")
                         doubt.append((len(rows) - 1, bare[-2000:], line, before[-2000:] if head else "", before_ended))
-                    elif (back := _sampled(i, s[-TAIL:], share)) and len(s) > back:
-                        sample.append((len(rows) - 1, s[-2000:], back))
-                if sample:
-                    whole, inner = _last_contexts([x[1] for x in sample]), _last_contexts([x[1][: -x[2]] for x in sample])
-                    for (r, _, _), w, n, lang in zip(sample, whole, inner, _languages([x[1][-400:] for x in sample])):
-                        if w and n and w != n:
-                            rows[r][1], rows[r][9], rows[r][10] = lang, w, n
+                    elif len(s) > 1:
+                        whole_ends.append((len(rows) - 1, s[-2000:], _back(i, len(s))))
+                if whole_ends:
+                    whole, inner = _last_contexts([x[1] for x in whole_ends]), _last_contexts([x[1][: -x[2]] for x in whole_ends])
+                    for (r, _, _), w, n, lang in zip(whole_ends, whole, inner, _languages([x[1][-400:] for x in whole_ends])):
+                        # (a place between the last letter and its mark is the end itself)
+                        rows[r][1], rows[r][9], rows[r][10] = lang, w, n if n != w else None
                 if doubt:
                     now = _last_contexts([x[1] for x in doubt])
                     lines = _last_contexts([x[2] for x in doubt])
@@ -218,7 +214,7 @@ def _counter(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
         schema = pa.schema([("ctx", pa.int64()), ("n_end", pa.int64()), ("n_on", pa.int64())])
-        one = np.uint64(1)
+        one, last_slot = np.uint64(1), np.uint64(8 * len(bits) - 1)
         kept: list[np.ndarray] = []  # context hashes whose lowest bit is the outcome
         sums: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
@@ -254,7 +250,7 @@ def _counter(bitmap):
                 for j in range(len(LEVELS)):
                     # a context in doubt is so with all its shorter ones: what fails at one level fails at the longer ones
                     h = contexts.at(ends, j)
-                    slot = (h & np.uint64(FILTER_BITS - 1)).astype(np.int32)
+                    slot = (h & last_slot).astype(np.int32)
                     ok = ((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool)
                     h, ends = h[ok], ends[ok]
                     kept.append(h | outcome[ends])
@@ -270,27 +266,45 @@ def _counter(bitmap):
     return run
 
 
-def _bitmap(contexts: DataFrame) -> bytes:
-    """Bits of all contexts in doubt: 2 MB, whatever the size of the data."""
-    slot = F.col("ctx").bitwiseAND(F.lit(FILTER_BITS - 1))
+def _bits(n: int) -> int:
+    """The size of the bitmap of so many contexts."""
+    return min(max(LEAST_BITS, 1 << (BITS * max(n, 1) - 1).bit_length()), MOST_BITS)
+
+
+def _bitmap(contexts: DataFrame, n_bits: int) -> bytes:
+    """Bits of all contexts looked for: at most 16 MB, whatever the size of the data."""
+    slot = F.col("ctx").bitwiseAND(F.lit(n_bits - 1))
     rows = (
         contexts.groupBy(F.shiftright(slot, 5).cast("int").alias("at"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
-        .toArrow()  # at most FILTER_BITS / 32 rows, as arrays
+        .toArrow()  # at most MOST_BITS / 32 rows, as arrays
     )
-    words = np.zeros(FILTER_BITS // 32, np.uint32)
+    words = np.zeros(n_bits // 32, np.uint32)
     words[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return words.tobytes()
 
 
-def _odds(rows: DataFrame, column: str, counts: DataFrame, own_end: int = 0, own_on: int = 0) -> DataFrame:
-    """(chapter_id, log_odds) that a sentence ends behind the contexts of a column, without so many counts that are the text's own."""
-    each = rows.where(F.col(column).isNotNull()).select("chapter_id", F.posexplode(column).alias("level", "ctx")).join(counts, "ctx", "left")
-    seen = lambda c, own: F.greatest(F.coalesce(c, F.lit(0)) - own, F.lit(0)).cast("double")
-    pair = F.array_sort(F.collect_list(F.struct("level", seen("n_end", own_end).alias("e"), seen("n_on", own_on).alias("o"))))  # one row per level
+def _odds(contexts: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of (chapter_id, ..., contexts, own_end, own_on), without these three, with the log_odds that a sentence ends behind
+    the contexts, without so many counts that are the text's own."""
+    kept = [c for c in contexts.columns if c not in ("contexts", "own_end", "own_on")]
+    seen = lambda c, own: F.greatest(F.coalesce(c, F.lit(0)) - F.col(own), F.lit(0)).cast("double")
+    each = (
+        contexts.where("contexts is not null")
+        .select(*kept, "own_end", "own_on", F.posexplode("contexts").alias("level", "ctx"))
+        .join(counts, "ctx", "left")
+        .select(*kept, F.struct("level", seen("n_end", "own_end").alias("e"), seen("n_on", "own_on").alias("o")).alias("x"))
+        .where("x.level = 0 or x.e + x.o > 0")  # a context that is seen nowhere else changes nothing
+    )
+    pair = F.array_sort(F.collect_list("x"))  # at most one row per level
     # the share that ends and the share that goes on, each by itself: 1 less a share that rounds to 1 is 0, which has no logarithm
     share = lambda outcome, prior: F.aggregate(pair, F.lit(prior), lambda acc, x: (x[outcome] + BACKOFF * acc) / (x["e"] + x["o"] + BACKOFF))
-    return each.groupBy("chapter_id").agg(share("e", PRIOR).alias("p"), share("o", 1 - PRIOR).alias("q")).select("chapter_id", (F.log("p") - F.log("q")).alias("log_odds"))
+    return each.groupBy(*kept).agg(share("e", PRIOR).alias("p"), share("o", 1 - PRIOR).alias("q")).select(*kept, (F.log("p") - F.log("q")).alias("log_odds"))
+
+
+def _of(rows: DataFrame, column: str) -> DataFrame:
+    """A column of contexts of which no count is the text's own."""
+    return rows.select("chapter_id", F.col(column).alias("contexts"), F.lit(0).alias("own_end"), F.lit(0).alias("own_on"))
 
 
 def best_threshold(whole: np.ndarray, inner: np.ndarray) -> float:
@@ -303,11 +317,12 @@ def best_threshold(whole: np.ndarray, inner: np.ndarray) -> float:
 
 
 def thresholds(tails: DataFrame, counts: DataFrame) -> dict[str | None, float]:
-    """The threshold of each language, and of all (None), from the sample's ends and other places."""
-    sample = tails.where("whole_contexts is not null")
+    """The threshold of each language, and of all (None), from the ends and other places of all texts that a mark ends."""
     bin_ = F.least(F.greatest(F.floor((F.col("log_odds") - LOWEST) * 10), F.lit(0)), F.lit(int((HIGHEST - LOWEST) * 10) - 1)).cast("int")
-    each = _odds(sample, "whole_contexts", counts, own_end=1).withColumn("whole", F.lit(True)).unionByName(_odds(sample, "inner_contexts", counts, own_on=1).withColumn("whole", F.lit(False)))
-    rows = each.join(sample.select("chapter_id", "lang"), "chapter_id").groupBy("lang", "whole", bin_.alias("bin")).agg(F.count("*").alias("n")).collect()  # a row per language and bin
+    kind = lambda whole, column: F.struct(F.lit(whole).alias("whole"), F.col(column).alias("contexts"))
+    both = tails.where("whole_contexts is not null").select("chapter_id", "lang", F.inline(F.array(kind(True, "whole_contexts"), kind(False, "inner_contexts"))))
+    each = _odds(both.withColumn("own_end", F.col("whole").cast("int")).withColumn("own_on", (~F.col("whole")).cast("int")), counts)
+    rows = each.groupBy("lang", "whole", bin_.alias("bin")).agg(F.count("*").alias("n")).collect()  # a row per language and bin
     bins: dict[str | None, np.ndarray] = {}
     for r in rows:
         for lang in (r["lang"], None):
@@ -318,15 +333,14 @@ def thresholds(tails: DataFrame, counts: DataFrame) -> dict[str | None, float]:
 def scored(chapters: DataFrame, key: str = "id", text: str = "translated_text") -> DataFrame:
     """(chapter_id, lang, ended, broken, signoff, log_odds, threshold, cut) of every text that is not blank; log_odds is null where a mark ends it."""
     narrow = chapters.select(F.col(key).cast("long").alias("chapter_id"), F.col(text).alias("text")).where("chapter_id is not null and text is not null")
-    share = min(1.0, CALIBRATION / max(chapters.count(), 1))
-    tails = written(narrow.mapInArrow(_tails(share), TAILS).groupBy("chapter_id").agg(*[F.first(c).alias(c) for c in ("lang", "ended", "broken", "line", "line_ctx", "contexts", "before_ended", "before_contexts", "whole_contexts", "inner_contexts")]), "tails")
+    tails = written(narrow.mapInArrow(_tails(), TAILS).groupBy("chapter_id").agg(*[F.first(c).alias(c) for c in ("lang", "ended", "broken", "line", "line_ctx", "contexts", "before_ended", "before_contexts", "whole_contexts", "inner_contexts")]), "tails")
     doubt = tails.where("not ended")
     none = F.array().cast("array<long>")
     contexts = F.concat(*[F.coalesce(c, none) for c in ("contexts", "before_contexts", "whole_contexts", "inner_contexts")], F.array_compact(F.array("line_ctx")))
-    bitmap = chapters.sparkSession.sparkContext.broadcast(_bitmap(tails.select(F.explode(contexts).alias("ctx"))))
+    total = tails.count()
+    bitmap = chapters.sparkSession.sparkContext.broadcast(_bitmap(tails.select(F.explode(contexts).alias("ctx")), _bits(2 * len(LEVELS) * total)))
     counts = written(narrow.select("text").mapInArrow(_counter(bitmap), COUNTS).groupBy("ctx").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on")), "contexts")
     low = thresholds(tails, counts)
-    total = tails.count()
     # a sign-off ends many texts, and what stands in that place is never continued
     lines = doubt.where("line is not null").groupBy("line").agg(F.count("*").alias("n_line"), F.min("line_ctx").alias("ctx"))
     signoffs = (
@@ -341,8 +355,8 @@ def scored(chapters: DataFrame, key: str = "id", text: str = "translated_text")
             threshold = F.when(F.col("lang") == lang, t).otherwise(threshold)
     return (
         tails.join(signoffs, "line", "left")
-        .join(_odds(doubt, "contexts", counts), "chapter_id", "left")
-        .join(_odds(doubt, "before_contexts", counts).withColumnRenamed("log_odds", "before_odds"), "chapter_id", "left")
+        .join(_odds(_of(doubt, "contexts"), counts), "chapter_id", "left")
+        .join(_odds(_of(doubt, "before_contexts"), counts).withColumnRenamed("log_odds", "before_odds"), "chapter_id", "left")
         .withColumn("signoff", F.coalesce("signoff", F.lit(False)))
         .withColumn("ended", F.when(F.col("signoff"), F.coalesce("before_ended", F.lit(True))).otherwise(F.col("ended")))
         .withColumn("log_odds", F.when(~F.col("ended"), F.when(F.col("signoff"), F.col("before_odds")).otherwise(F.col("log_odds"))))

@@ -198,7 +198,7 @@ def test_log_odds_of_counts_of_any_size(spark):
     rows = spark.createDataFrame([(1, list(range(n))), (2, list(range(n, 2 * n))), (3, list(range(2 * n, 3 * n)))], "chapter_id long, contexts array<long>")
     seen = [(10**5, 0), (0, 10**5), (3, 1)]
     counts = spark.createDataFrame([(k * n + j, *seen[k]) for k in range(3) for j in range(n)], "ctx long, n_end long, n_on long")
-    got = {r["chapter_id"]: r["log_odds"] for r in truncation._odds(rows, "contexts", counts).collect()}
+    got = {r["chapter_id"]: r["log_odds"] for r in truncation._odds(truncation._of(rows, "contexts"), counts).collect()}
     for k, (e, o) in enumerate(seen):
         p, q = Fraction(str(truncation.PRIOR)), 1 - Fraction(str(truncation.PRIOR))
         for _ in range(n):
@@ -207,6 +207,22 @@ def test_log_odds_of_counts_of_any_size(spark):
         assert got[k + 1] == pytest.approx(math.log(p) - math.log(q), abs=1e-6)
 
 
+def test_thresholds_come_from_all_texts(spark, monkeypatch):
+    """Every text that a mark ends gives its end, however many they are, and another place unless that is the end itself."""
+    rows = [(i, 1, "x", f"Ann carried the lamp to gate {'abcdefghij'[i % 10] * 3} of Orlen.") for i in range(12_000)]
+    seen = []
+    best = truncation.best_threshold
+    monkeypatch.setattr(truncation, "best_threshold", lambda whole, inner: seen.append((whole.sum(), inner.sum())) or best(whole, inner))
+    truncation.scored(chapters(spark, rows))
+    whole, inner = max(seen)
+    assert whole == 12_000 and 0.95 * whole < inner <= whole
+
+
+def test_bitmap_grows_with_the_contexts():
+    assert truncation._bits(0) == truncation._bits(1000) == truncation.LEAST_BITS and truncation._bits(10**9) == truncation.MOST_BITS
+    assert truncation.LEAST_BITS < truncation._bits(5_000_000) < truncation.MOST_BITS
+
+
 def test_cuts_in_two_languages(spark):
     """Each language of a column has its cuts found by its own threshold."""
     rng = random.Random(7)
