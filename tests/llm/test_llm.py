@@ -316,6 +316,16 @@ def test_pairs_of_sentences_that_end_very_many_texts(spark):
     assert got.distinct().count() == 4000
 
 
+def test_p5_takes_cut_texts_by_thresholds_of_all(spark, tmp_path, monkeypatch):
+    rows = [(i, 1, f"Ann carried the lamp to gate {'abcdefghij'[i % 10] * 3} of Orlen.", f"حملت آن المصباح إلى البوابة {'ابتثجحخدذر'[i % 10] * 3} في أورلن.") for i in range(10_000)]
+    chapters(spark, rows).write.parquet(str(tmp_path / "chapter.parquet"))
+    seen = []
+    best = truncation.best_threshold
+    monkeypatch.setattr(truncation, "best_threshold", lambda whole, inner: seen.append(whole.sum()) or best(whole, inner))
+    QUERIES["p5_found"](spark, str(tmp_path))
+    assert max(seen) == 10_000
+
+
 def test_alignment(spark):
     rng = random.Random(9)
     nouns = {f"noun{chr(97 + i)}{chr(110 - i)}": f"اسم{chr(0x628 + i)}{chr(0x641 - i % 3)}" for i in range(12)}
