@@ -445,6 +445,8 @@ def _counted(batches: Iterator[pa.RecordBatch], model: _Model) -> Iterator[pa.Re
                 sides.append((words, at[which], sizes[which]))
             (wa, sa, na), (wb, sb, nb) = sides
             ok = (na > 0) & (nb > 0)
+            if not ok.any():  # as where every sentence was left in the source's language
+                continue
             sa, na, sb, nb = sa[ok], na[ok], sb[ok], nb[ok]
             total += len(na)
             # the words of both sides of all pairs, one after the other; numbers have their own codes and need no lexicon
@@ -488,7 +490,7 @@ def lexicon(tokens: DataFrame, model: _Model) -> tuple[np.ndarray, np.ndarray]:
     if total is None:
         return vs, vt
     n = float(total["n"])
-    phi = (n * F.col("n") - F.col("ns") * F.col("nt")) / F.sqrt(F.col("ns") * 1.0 * F.col("nt") * F.greatest(n - F.col("ns"), F.lit(1.0)) * F.greatest(n - F.col("nt"), F.lit(1.0)))
+    phi = (n * F.col("n") - F.col("ns") * 1.0 * F.col("nt")) / F.sqrt(F.col("ns") * 1.0 * F.col("nt") * F.greatest(n - F.col("ns"), F.lit(1.0)) * F.greatest(n - F.col("nt"), F.lit(1.0)))
     w = Window.partitionBy("s").orderBy(F.desc("phi"), "t")
     best = (
         counts.where((F.col("s") < WORDS) & (F.col("t") < WORDS) & (F.col("n") >= LEAST_COUNT))

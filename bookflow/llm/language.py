@@ -92,8 +92,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     weights = np.where(ideograph, IDEOGRAPH_WEIGHT, 1) * (sym > 0)
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     letters = np.add.reduceat(weights, first) if len(first) else np.zeros(0, np.int64)
-    p1 = np.concatenate(([0], sym[:-1])).astype(np.uint32)
-    p2 = np.concatenate(([0, 0], sym[:-2])).astype(np.uint32)
+    p1 = np.concatenate(([0], sym[:-1]))[: len(sym)].astype(np.uint32)
+    p2 = np.concatenate(([0, 0], sym[:-2]))[: len(sym)].astype(np.uint32)
     p1[first] = 0
     p2[first] = 0
     p2[first[first + 1 < len(sym)] + 1] = 0
@@ -114,7 +114,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     size = np.diff(np.append(first, len(sym)))
     gram = gram[np.repeat(ok, size)]
     size = size[ok]
-    return gram, np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64), text[ok], number[ok], letters[ok]
+    return gram, np.concatenate(([0], np.cumsum(size)))[: len(size)].astype(np.int64), text[ok], number[ok], letters[ok]
 
 
 def scores(gram: np.ndarray, first: np.ndarray, matrix: np.ndarray) -> np.ndarray:

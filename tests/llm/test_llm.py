@@ -316,6 +316,35 @@ def test_pairs_of_sentences_that_end_very_many_texts(spark):
     assert got.distinct().count() == 4000
 
 
+def _batch(*columns):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list("abcdefgh")[: len(columns)])
+
+
+@pytest.mark.parametrize("text", ["...", "***", "«»", "…", "12", "x"])
+def test_a_batch_of_one_text_with_or_without_letters(text):
+    """What is left over for the last slice of a task may be such a text alone."""
+    (tail,) = next(truncation._tails()(iter([_batch([7], [text])]))).to_pylist()
+    assert tail["chapter_id"] == 7 and (tail["lang"] is None) == (text != "x")
+
+
+def test_counts_of_a_batch_left_in_the_language_of_the_source():
+    left = list(alignment._tokenised(iter([_batch([1], ["Nobody came. All slept."], ["Nobody came. All slept."])])))
+    assert left[0].num_rows == 1 and list(alignment._counted(iter(left), alignment._Model([]))) == []
+    whole = list(alignment._tokenised(iter([_batch([2], ["Nobody came."], ["لم يأت أحد."])])))
+    alone, both = (next(alignment._counted(iter(x), alignment._Model([]))).to_pylist() for x in (whole, left + whole))
+    assert alone == both
+
+
+def test_lexicon_of_very_many_sentences(spark, monkeypatch):
+    many, w = 4 * 10**9, alignment.WORDS
+    counts = spark.createDataFrame([(1, 2, many), (1, w, many), (w, 2, many), (w, w, 2 * many)], "s int, t int, n long")
+    monkeypatch.setattr(alignment, "written", lambda df, name: counts)
+    vs, vt = alignment.lexicon(spark.createDataFrame([], alignment.TOKENS), alignment._Model([]))
+    assert np.allclose(vs[1] / np.linalg.norm(vs[1]), vt[2] / np.linalg.norm(vt[2]), atol=1e-6)
+
+
 def test_p5_takes_cut_texts_by_thresholds_of_all(spark, tmp_path, monkeypatch):
     rows = [(i, 1, f"Ann carried the lamp to gate {'abcdefghij'[i % 10] * 3} of Orlen.", f"حملت آن المصباح إلى البوابة {'ابتثجحخدذر'[i % 10] * 3} في أورلن.") for i in range(10_000)]
     chapters(spark, rows).write.parquet(str(tmp_path / "chapter.parquet"))
