@@ -23,7 +23,7 @@ numbers of sentences and memory does not; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -335,16 +335,47 @@ class _Model:
 SUMS = "pair int, n long, x double, y double, yy double"
 
 
-def _length_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of lengths by pair of languages, over the documents with as many sentences on both sides, taken in order."""
+def _sums_of(total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total[:, 0])
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at, 0].astype(np.int64)), *[pa.array(total[at, i]) for i in (1, 2, 3)]], names=["pair", "n", "x", "y", "yy"])
+
+
+def _mean_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By pair of languages, over all documents: their number and the sums of the mean lengths of their sentences."""
     total = np.zeros((32, 4))
     for batch in batches:
-        for pair, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            if len(x) == len(y):
-                x, y = np.frombuffer(x, np.uint32).astype(float), np.frombuffer(y, np.uint32).astype(float)
-                total[pair] += len(x), x.sum(), y.sum(), (y * y / np.maximum(x, 1)).sum()
-    at = np.flatnonzero(total[:, 0])
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at, 0].astype(np.int64)), *[pa.array(total[at, i]) for i in (1, 2, 3)]], names=["pair", "n", "x", "y", "yy"])
+        sizes = [np.fromiter(map(len, c), np.int64, len(c)) // 4 for c in (batch.column(i).to_pylist() for i in (1, 2))]
+        some = (sizes[0] > 0) & (sizes[1] > 0)
+        pair = batch.column(0).to_numpy()[some]
+        total[:, 0] += np.bincount(pair, minlength=32)
+        for k, n in enumerate(sizes, 1):
+            chars = np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32)
+            ends = np.concatenate(([0], np.cumsum(chars, dtype=np.int64)))[np.cumsum(n)]
+            total[:, k] += np.bincount(pair, weights=(np.diff(ends, prepend=0) / np.maximum(n, 1))[some], minlength=32)
+    yield _sums_of(total)
+
+
+def _length_sums(batches: Iterator[pa.RecordBatch], start: _Model | None = None) -> Iterator[pa.RecordBatch]:
+    """Sums of lengths by pair of languages, over the one-to-one beads of all documents under a first model, which is that of the batches' own means where none is given."""
+    if start is None:
+        batches = list(batches)
+        start = _first_model(zip(*(c.to_pylist() for c in next(_mean_sums(iter(batches))).columns)))
+    total = np.zeros((32, 4))
+    for batch in batches:
+        c = [column.to_pylist() for column in batch.columns]
+        for lo in range(0, len(c[0]), 2000):
+            pair, x, y = (column[lo : lo + 2000] for column in c)
+            pair, src, tgt = np.array(pair), _Side([], x, x), _Side([], y, y)
+            beads = _pairs_by_length(src, tgt, pair, start)
+            x, y = (np.concatenate(side.chars).astype(float)[(np.cumsum(side.n) - side.n)[beads[:, 0]] + beads[:, k]] for side, k in ((src, 1), (tgt, 2)))
+            for k, values in enumerate((np.ones(len(x)), x, y, y * y / np.maximum(x, 1))):
+                total[:, k] += np.bincount(pair[beads[:, 0]], weights=values, minlength=32)
+    yield _sums_of(total)
+
+
+def _first_model(sums: Iterable[tuple]) -> _Model:
+    """From the sums of means: what a sentence's length becomes, whatever is left out on either side."""
+    return _Model([(pair, y / x, VARIANCE) for pair, _, x, y, _ in sums if x > 0])
 
 
 def _estimated(n: float, x: float, y: float, yy: float) -> tuple[float, float]:
@@ -354,9 +385,11 @@ def _estimated(n: float, x: float, y: float, yy: float) -> tuple[float, float]:
 
 
 def length_model(tokens: DataFrame) -> _Model:
-    """Ratio and variance of each pair of languages with LEAST_PAIRS pairs of sentences: at most 32 rows."""
-    rows = tokens.select("pair", "src_chars", "tgt_chars").mapInArrow(_length_sums, SUMS).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "yy")]).where((F.col("n") >= LEAST_PAIRS) & (F.col("x") > 0)).collect()
-    return _Model([(r["pair"], *_estimated(r["n"], r["x"], r["y"], r["yy"])) for r in rows])
+    """Ratio and variance of each pair of languages with LEAST_PAIRS pairs of sentences, from the one-to-one beads of all documents; at most 32 rows."""
+    lengths = tokens.select("pair", "src_chars", "tgt_chars")
+    summed = lambda run: lengths.mapInArrow(run, SUMS).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "yy")]).where(F.col("x") > 0).collect()
+    start = _first_model(summed(_mean_sums))
+    return _Model([(r["pair"], *_estimated(r["n"], r["x"], r["y"], r["yy"])) for r in summed(lambda batches: _length_sums(batches, start)) if r["n"] >= LEAST_PAIRS])
 
 
 def _length_gains(x: np.ndarray, y: np.ndarray, ratio: np.ndarray, variance: np.ndarray) -> list[np.ndarray | None]:

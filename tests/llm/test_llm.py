@@ -422,6 +422,19 @@ def test_length_model():
     assert abs(got[0][0] - 0.8) < 0.03 and abs(got[9][0] - 2.5) < 0.05 and all(2.5 < v < 3.6 for _, v in got.values())
 
 
+def test_length_model_comes_from_all_documents(spark):
+    """Most documents leave a sentence out; the few with as many sentences on both sides, whose sentences don't belong together, don't decide."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(320):
+        x = rng.integers(20, 120, 12)
+        y = rng.integers(20, 120, 12) if i < 20 else np.delete(np.maximum(2 * x + rng.normal(size=12) * np.sqrt(3.0 * x), 1), rng.integers(12))
+        rows.append((0, bytearray(x.astype(np.uint32).tobytes()), bytearray(y.round().astype(np.uint32).tobytes())))
+    model = alignment.length_model(spark.createDataFrame(rows, "pair int, src_chars binary, tgt_chars binary"))
+    ratio, variance = model.of[0]
+    assert abs(ratio - 2) < 0.05 and 2 < variance < 4.5
+
+
 def test_counts_in_parts_add_up(monkeypatch):
     import pyarrow as pa
 
