@@ -56,19 +56,19 @@ TOKENS = "chapter_id long, pair int, src_words binary, src_sizes binary, src_cha
 def _tokens(texts: list[str]) -> tuple[np.ndarray, ...]:
     """(hash of each word; whether it is a number; its sentence; text of each sentence; characters of each sentence; shares of letters by text: Latin, Persian, ideographs)."""
     cp, starts = K.codepoints(texts)
-    s, e = K.sentences(cp)
     k, t = np.minimum(cp, K.TOP), K.classes()
-    flags = t["flags"][k]
+    flags = t["flags"].take(k)
+    s, e = K.sentences(cp, flags)
     at = np.flatnonzero((flags & K.MARK) == 0)
-    k, flags = k[at], flags[at]
-    letter, number = (flags & K.LETTER) != 0, (flags & K.DIGIT) != 0
+    if len(at) < len(k):
+        k, flags = k.take(at), flags.take(at)
     ideograph = (flags & K.IDEOGRAPH) != 0
     # a run of letters or of digits; an ideograph stands alone
-    kind = letter + number * np.int8(2)
-    cut = ideograph | np.concatenate(([False], kind[1:] != kind[:-1])) | np.concatenate(([False], ideograph[:-1]))
-    ws, we = K.runs(kind > 0, cut)
-    values = np.where(number, t["digit"][k].astype(np.uint32) + np.uint32(48), t["lower"][k])
-    words = K.run_hashes(values, ws, we)
+    kind = flags & np.uint16(K.LETTER | K.DIGIT)
+    cut = ideograph.copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) | ideograph[:-1]
+    ws, we = K.runs(kind != 0, cut)
+    words = K.run_hashes(t["value"].take(k), ws, we)
     sentence = np.searchsorted(s, at[ws], side="right") - 1
     ok = (sentence >= 0) & (at[ws] < e[np.maximum(sentence, 0)]) if len(s) else np.zeros(len(ws), bool)
     text = np.searchsorted(starts, s, side="right") - 1
@@ -76,7 +76,7 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, ...]:
     begin = np.searchsorted(at, starts[:-1])
     letters, latin, persian, han = (np.add.reduceat((flags & x) != 0, begin, dtype=np.int64) for x in (K.LETTER, K.LATIN, K.PERSIAN, K.IDEOGRAPH))
     letters = np.maximum(letters, 1)
-    return words[ok], number[ws][ok], sentence[ok], text, e - s, latin / letters, persian / letters, han / letters
+    return words[ok], ((flags[ws] & K.DIGIT) != 0)[ok], sentence[ok], text, e - s, latin / letters, persian / letters, han / letters
 
 
 def _target_languages(texts: list[str], latin: np.ndarray, persian: np.ndarray) -> np.ndarray:
@@ -191,7 +191,10 @@ def _risen(row: np.ndarray) -> np.ndarray:
         return np.maximum.accumulate(row.reshape(-1)).reshape(-1, 1)
     reach = 1
     while reach < len(row):
-        row = np.concatenate((row[:reach], np.maximum(row[reach:], row[:-reach])))
+        risen = np.empty_like(row)
+        risen[:reach] = row[:reach]
+        np.maximum(row[reach:], row[:-reach], out=risen[reach:])
+        row = risen
         reach *= 2
     return row
 
@@ -557,9 +560,9 @@ def _vectors(side: _Side, table: np.ndarray) -> list[np.ndarray]:
     for u, v in zip(edges, [*edges[1:], len(order)]):
         if size := int(ordered[u]):
             which = order[u:v]
-            for lo in range(0, len(which), 4096):
-                part = which[lo : lo + 4096]
-                sums[part] = table[words[at[part][:, None] + np.arange(size)]].sum(axis=1)
+            for lo in range(0, len(which), 256):
+                part = which[lo : lo + 256]
+                sums[part] = table.take(words.take(at[part][:, None] + np.arange(size)), axis=0).sum(axis=1)
     return np.split(sums, np.cumsum(side.n)[:-1])
 
 
@@ -785,7 +788,7 @@ def aligned(chapters: DataFrame, without: DataFrame | None = None, cut: DataFram
     tokens = written(both.mapInArrow(_tokenised, TOKENS), "sentences")
     model = length_model(tokens)
     shared = chapters.sparkSession.sparkContext.broadcast(lexicon(tokens, model))  # 16 MB, whatever the data
-    once = tokens.dropDuplicates(["chapter_id"])
+    once = tokens.repartition("chapter_id").dropDuplicates(["chapter_id"])  # shuffled as they are: sorted once, behind the shuffle
     if without is not None:
         once = once.join(without.select("chapter_id"), "chapter_id", "left_anti")
     if cut is not None:

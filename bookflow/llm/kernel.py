@@ -23,7 +23,7 @@ TOP = 0x20000  # code points beyond are treated as letters (they are CJK extensi
 
 @cache
 def classes() -> dict[str, np.ndarray]:
-    """Per code point: letter, mark, digit value (-1: none), lower-case form, and white space."""
+    """Per code point: letter, mark, digit value (-1: none), lower-case form, white space; its symbol (one for all digits, one for all white space, else the lower-case form) and its value in a word (digits of all scripts are equal)."""
     letter, mark, space = np.zeros(TOP + 1, bool), np.zeros(TOP + 1, bool), np.zeros(TOP + 1, bool)
     digit, lower = np.full(TOP + 1, -1, np.int8), np.arange(TOP + 1, dtype=np.uint32)
     for i in range(TOP):
@@ -51,7 +51,9 @@ def classes() -> dict[str, np.ndarray]:
     for bit, chars in ((ENDER, ENDERS), (FULL, IDEOGRAPHIC), (CLOSER, CLOSERS), (BREAK, BREAKS), (PERSIAN, "پچژگکی"), (INVISIBLE, UNSEEN)):
         flags[[ord(c) for c in chars]] |= bit
     flags[(np.arange(TOP + 1) < 0x250) & letter] |= LATIN
-    return {"letter": letter, "mark": mark, "digit": digit, "lower": lower, "space": space, "ideograph": ideograph, "flags": flags}
+    value = np.where(digit >= 0, digit.astype(np.uint32) + np.uint32(48), lower)
+    symbol = np.where(digit >= 0, np.uint32(48), np.where(space, np.uint32(32), lower))
+    return {"letter": letter, "mark": mark, "digit": digit, "lower": lower, "space": space, "ideograph": ideograph, "flags": flags, "symbol": symbol, "value": value}
 
 
 def codepoints(texts: list[str], end: str = "\n") -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +72,11 @@ def multipliers(n: int, seed: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the result."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def slices(ids: list, texts: list[str], limit: int = 100_000) -> Iterator[tuple[list, list[str]]]:
@@ -116,36 +119,43 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     place = at - np.repeat(first, size)
     at += np.repeat(starts - first, size)
     with np.errstate(over="ignore"):
-        x = values[at].astype(np.uint64)
+        x = values.take(at).astype(np.uint64)
         x += np.uint64(1)
-        x *= multipliers(LONG, seed)[place & (LONG - 1)]
+        x *= multipliers(LONG, seed).take(place, mode="wrap")
         if (size > LONG).any():  # only these runs: a hash must not depend on what stands beside it
             long = np.repeat(size > LONG, size)
             x[long] = mix(x[long] + (place[long] // LONG).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return mix(np.add.reduceat(x, first) + size.astype(np.uint64))
 
 
-def sentences(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sentences(cp: np.ndarray, f: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the sentences in a batch: those pieces between ends of sentences that hold a letter.
 
     A sentence ends at a line break; after a run of end marks and the closing quotes or brackets behind it where
-    white space or the line's end follows; after an ideographic full stop with such quotes.
+    white space or the line's end follows; after an ideographic full stop with such quotes. ``f``: the flags of ``cp``,
+    where they are known.
     """
-    f = classes()["flags"][np.minimum(cp, TOP)]
+    if f is None:
+        f = classes()["flags"][np.minimum(cp, TOP)]
     n = len(cp)
-    enders, full, closers, breaks = ((f & x) != 0 for x in (ENDER, FULL, CLOSER, BREAK))
-    space = (f & (SPACE | BREAK)) != 0
-    here = np.arange(n, dtype=np.int32)
-    last = np.maximum.accumulate(np.where(closers, -1, here))  # the last position up to here that is no closing quote
-    safe = np.maximum(last, 0)
-    next_space = np.concatenate((space[1:], [True]))
-    next_closer = np.concatenate((closers[1:], [False]))
-    stop = (last >= 0) & ((enders[safe] & next_space & (enders | closers)) | (full[safe] & ~next_closer & (full | closers)))
-    stop |= breaks
-    ends = np.flatnonzero(stop) + 1
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # only at these positions, a few of a hundred, can a sentence end
+    at = np.flatnonzero(f & (ENDER | FULL | CLOSER | BREAK))
+    here = f[at]
+    following = np.where(at + 1 < n, f[np.minimum(at + 1, n - 1)], BREAK)
+    closer = (here & CLOSER) != 0
+    run = closer.copy()  # the first of each run of closing quotes
+    run[1:] &= ~(closer[:-1] & (at[1:] == at[:-1] + 1))
+    # the last position up to each that is no closing quote
+    last = np.where(closer, at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))] - 1, at) if len(at) else at
+    before = np.where(last >= 0, f[np.maximum(last, 0)], 0)
+    stop = ((before & ENDER) != 0) & ((following & (SPACE | BREAK)) != 0)
+    stop |= ((before & FULL) != 0) & ((following & CLOSER) == 0)
+    stop |= (here & BREAK) != 0
+    ends = at[stop] + 1
     if not len(ends) or ends[-1] != n:
         ends = np.append(ends, n)
     starts = np.concatenate(([0], ends[:-1]))
-    letters = np.concatenate(([0], np.cumsum((f & LETTER) != 0)))
-    keep = letters[ends] > letters[starts]
+    keep = (np.bitwise_or.reduceat(f, starts) & LETTER) != 0
     return starts[keep], ends[keep]

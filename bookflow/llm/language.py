@@ -121,8 +121,8 @@ def scores(gram: np.ndarray, first: np.ndarray, matrix: np.ndarray) -> np.ndarra
     """Log-likelihood of every line under every language."""
     if not len(first):
         return np.zeros((0, matrix.shape[1]))
-    each = matrix[gram[:, 0]]
-    each += matrix[gram[:, 1]]
+    each = matrix.take(gram[:, 0], axis=0)
+    each += matrix.take(gram[:, 1], axis=0)
     return np.add.reduceat(each, first, axis=0)
 
 

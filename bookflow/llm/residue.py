@@ -85,23 +85,21 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     texts = [R.visible(t) for t in texts]  # words stand apart by what is seen
-    with_slot = [R.has_slot(t) for t in texts]
+    joined = "\n".join(texts)
+    hints = [h for h in R.SLOT_HINTS if h in joined]
+    with_slot = [R.has_slot(t, hints) for t in texts]
     slots = [i for i, s in zip(ids, with_slot) if s]
     if slots:  # a row of its own, since such a text may hold no word
         n = len(slots)
         no, zero = pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.int64()), zero, zero, no, no, pa.array(np.ones(n, bool)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
-    trusted: set[tuple[int, int]] = set()
-    seeds: set[tuple[int, int]] = set()
     cp, starts = K.codepoints(texts)
     k, t = np.minimum(cp, K.TOP), K.classes()
-    flags = t["flags"][k]
-    digit = (flags & K.DIGIT) != 0
+    flags = t["flags"].take(k)
     ws, we = K.runs((flags & (K.LETTER | K.DIGIT | K.MARK)) != 0, (flags & K.IDEOGRAPH) != 0)
-    low = t["lower"][k]
+    low = t["lower"].take(k)
     words = K.run_hashes(low, ws, we)
-    digits = np.concatenate(([0], np.cumsum(digit)))
-    words[digits[we] > digits[ws]] = 0  # a number, or a code of digits and letters: one word for all of them
+    words[np.searchsorted(ws, np.flatnonzero(flags & K.DIGIT), side="right") - 1] = 0  # a number, or a code of digits and letters: one word for all of them
     breaks = np.concatenate(([0], np.cumsum(cp == 10)))  # lines before each position, over the whole chunk
     line = breaks[ws]
     if not len(ws):
@@ -113,11 +111,7 @@ def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.Rec
     by_text: dict[int, list[int]] = {}
     for i, j in zip((np.searchsorted(starts, ws[tried], side="right") - 1).tolist(), line[tried].tolist()):
         by_text.setdefault(i, []).append(j - int(breaks[starts[i]]))
-    for i, text in enumerate(texts):
-        for j, kind in R.residue_lines(text, by_text.get(i, ()), with_slot[i]):
-            trusted.add((i, j))
-            if kind == R.WORDING:
-                seeds.add((i, j))
+    labelled = [(i, j, kind) for i, text in enumerate(texts) for j, kind in R.residue_lines(text, by_text.get(i, ()), with_slot[i])]
     key = K.run_hashes(words, first, last, 11)
 
     # shingles: position i starts one if four more words of its line follow
@@ -126,10 +120,11 @@ def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.Rec
     full = place + SHINGLE <= end_of
     at = np.flatnonzero(full)
     with np.errstate(over="ignore"):
-        sh = np.zeros(len(at), np.uint64)
+        above = words + np.uint64(1)
+        sh = np.zeros(max(len(words) - SHINGLE + 1, 0), np.uint64)
         for j, m in enumerate(K.multipliers(SHINGLE, 13)):
-            sh += (words[at + j] + np.uint64(1)) * m
-        sh = K.mix(sh)
+            sh += above[j : j + len(sh)] * m
+        sh = K.mix(sh.take(at))
     # the set of each line: its different shingles, of 32 bits, in ascending order
     of_line = np.repeat(np.arange(len(first), dtype=np.uint64), np.maximum(n_words - SHINGLE + 1, 0))
     both = np.sort(of_line << np.uint64(32) | sh & np.uint64(0xFFFFFFFF))
@@ -143,7 +138,14 @@ def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.Rec
 
     doc = np.searchsorted(starts, ws[first], side="right") - 1
     number = line[first] - breaks[starts[doc]]
-    pairs = list(zip(doc.tolist(), number.tolist())) if trusted else []
+    trusted, seeds = np.zeros(len(first), bool), np.zeros(len(first), bool)
+    if labelled:
+        i, j, kind = np.array(labelled, np.int64).T
+        ids_of = doc << 32 | number  # ascending
+        place = np.minimum(np.searchsorted(ids_of, i << 32 | j), len(ids_of) - 1)
+        ok = ids_of[place] == i << 32 | j  # (a line without words has no row)
+        trusted[place[ok]] = True
+        seeds[place[ok & (kind == R.WORDING)]] = True
     lists = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
     codes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_codes))).astype(np.int32)), pa.array(prefix.view(np.int32)))
     yield pa.RecordBatch.from_arrays(
@@ -153,8 +155,8 @@ def _lines_of(ids: list, texts: list[str], schema: pa.Schema) -> Iterator[pa.Rec
             pa.array(key.view(np.int64)),
             pa.array(n_words.astype(np.int32)),
             pa.array(n_sh.astype(np.int32)),
-            pa.array([p in trusted for p in pairs], pa.bool_()) if trusted else pa.array(np.zeros(len(doc), bool)),
-            pa.array([p in seeds for p in pairs], pa.bool_()) if seeds else pa.array(np.zeros(len(doc), bool)),
+            pa.array(trusted),
+            pa.array(seeds),
             pa.array(np.zeros(len(doc), bool)),
             lists,
             codes,
@@ -193,7 +195,8 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def propagated(lines: DataFrame) -> DataFrame:
     """Keys of lines that a chain of near-duplicates joins to a trusted line, the trusted ones included."""
-    known = written(lines.groupBy("key").agg(F.max("trusted").alias("trusted"), F.max("seed").alias("seed"), F.max("n_shingles").alias("n_shingles"), F.first("codes").alias("codes")).where("trusted"), "residue-keys")
+    # (a seed is trusted, and lines of one key have the same shingles: the other lines need not be grouped)
+    known = written(lines.where("trusted").groupBy("key").agg(F.max("seed").alias("seed"), F.max("n_shingles").alias("n_shingles"), F.first("codes").alias("codes")), "residue-keys")
     found = [known.select("key")]
     frontier = known.where(F.col("seed") & (F.col("n_shingles") > 0)).select("key", "n_shingles", "codes")
     index = lines.where(F.col("n_shingles") > 0)
@@ -231,7 +234,7 @@ def residue_chapters(chapters: DataFrame, key: str = "id", text: str = "raw_text
     """(chapter_id, has_slot, residue_words, other_words) of the chapters that are residue."""
     lines = line_table(chapters, key, text)
     labelled = propagated(lines).withColumn("residue", F.lit(True))
-    marked = lines.select("chapter_id", "line_no", "key", "n_words", "slot").join(labelled, "key", "left")
+    marked = lines.select("chapter_id", "line_no", "key", "n_words", "slot").join(labelled, "key", "left").select("chapter_id", "line_no", "n_words", "slot", "residue").repartition("chapter_id")  # one shuffle for both groupings
     per_line = marked.groupBy("chapter_id", "line_no").agg(F.max("n_words").alias("n_words"), F.max("slot").alias("slot"), F.max("residue").alias("residue"))
     return (
         per_line.groupBy("chapter_id")

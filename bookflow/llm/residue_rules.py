@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import cache
+from functools import cache, lru_cache
 
 from bookflow.llm.kernel import UNSEEN
 
@@ -143,8 +143,12 @@ def visible(text: str) -> str:
     return text if text.isascii() else _INVISIBLE.sub("", text)
 
 
-def has_slot(text: str) -> bool:
-    return any(h in text for h in SLOT_HINTS) and bool(SLOT.search(text))
+def has_slot(text: str, hints: Iterable[str] = SLOT_HINTS) -> bool:
+    """Whether a text has a slot; ``hints``: those of SLOT_HINTS that it may hold."""
+    for h in hints:
+        if h in text:
+            return bool(SLOT.search(text))
+    return False
 
 
 #: How a line came by its label: a wording (others may be near it), or its vocabulary or a slot (no wording to be near to).
@@ -165,7 +169,7 @@ def is_technical(words, technical, only, holding):
 
 
 def technical(words: list[str]) -> bool:
-    words = [w for w in words if len(w) > 1 and not any(c.isdigit() for c in w)]
+    words = [w for w in words if len(w) > 1 and (w.isalpha() or not any(map(str.isdigit, w)))]
     count = lambda s: sum(w in s for w in words)
     return bool(is_technical(len(words), count(TECHNICAL_ONLY) + count(TECHNICAL_TOO), len(TECHNICAL_ONLY.intersection(words)), count(HOLDING)))
 
@@ -190,6 +194,11 @@ def is_residue(line: str) -> int:
     return 0
 
 
+#: The verdicts on the last lines of no more characters are kept, since pages repeat their notices.
+KEPT = 300
+_is_residue = lru_cache(4096)(is_residue)
+
+
 #: A word of each literal of LINES: of those whose patterns hold for short lines only (WORDS_OF_SHORT words at most), and of the others. Words that only
 #: end in "error" or "exception" are sought as parts.
 SHORT = frozenset("found gateway forbidden denied server unavailable requests timeout undefined null nan reference event node ray المعرف coming".split())
@@ -214,4 +223,4 @@ def residue_lines(text: str, may: Iterable[int] | None = None, slot: bool | None
         tried |= {j for j, line in enumerate(lines) if has_slot(line)}
     if parts:
         tried |= {j for j, line in enumerate(lines) if any(p.strip() in line.lower() for p in PARTS)}
-    return [(j, kind) for j in sorted(tried) if (kind := is_residue(lines[j]))]
+    return [(j, kind) for j in sorted(tried) if (kind := (_is_residue(lines[j]) if len(lines[j]) <= KEPT else is_residue(lines[j])))]

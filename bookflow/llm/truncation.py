@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.llm import kernel as K
@@ -51,8 +51,7 @@ SIGNOFF_LEAST, SIGNOFF_SHARE = 3, 0.0005
 #: Marks and closing quotes at the end of a text are looked for in so many characters.
 TAIL = 200
 
-_ENDED = re.compile(r"(?:[!?؟！？。]|(?<!\.)\.)[\"”“»'’)\]]*$")
-_BROKEN = re.compile("�+$")
+_MARKS, _QUOTES, _BROKEN = "!?؟！？。", "\"”“»'’)]", "�"
 _BEHIND = re.compile(r"(?:\s|[.…]|�|</?[A-Za-z]*|&#?[A-Za-z0-9]{0,8}|[\"”“»'’)\]])+$")
 _HAS_WORD = re.compile(r"[^\W_]")
 
@@ -70,34 +69,46 @@ def _stripped(text: str) -> str:
 def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sentences as streams of symbols, each begun by 1: (symbols, start of each, text of each, whether it is its text's last)."""
     cp, starts = K.codepoints(texts)
-    s, e = K.sentences(cp)
+    k, t = np.minimum(cp, K.TOP), K.classes()
+    flags = t["flags"].take(k)
+    s, e = K.sentences(cp, flags)
     if not len(s):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint32), z, z, np.zeros(0, bool)
-    k, t = np.minimum(cp, K.TOP), K.classes()
-    digit = t["digit"][k] >= 0
-    alnum = t["letter"][k] | digit
-    at = np.flatnonzero(alnum)
+    at = np.flatnonzero(flags & (K.LETTER | K.DIGIT))
     first, last = at[np.searchsorted(at, s)], at[np.searchsorted(at, e) - 1] + 1
-    size = last - first
-    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    where = np.repeat(first - begin, size) + np.arange(int(size.sum()))
-    sym = np.where(digit, np.uint32(48), np.where(t["space"][k], np.uint32(32), t["lower"][k]))[where]
-    same = np.concatenate(([False], sym[1:] == sym[:-1]))
-    same[begin] = False
-    keep = ~t["mark"][k][where] & ~(same & ((sym == 48) | (sym == 32)))
-    left = np.add.reduceat(keep.astype(np.int64), begin)
-    out = np.ones(int(left.sum()) + len(left), np.uint32)
+    sym = t["symbol"].take(k)
+    # from each sentence's first letter or digit to its last one, without marks and without the second and later of equal digits or blanks
+    edge = np.zeros(len(cp) + 1, np.int8)
+    edge[first] = 1
+    edge[last] -= 1
+    keep = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    keep &= (flags & K.MARK) == 0
+    again = np.flatnonzero(sym[1:] == sym[:-1]) + 1
+    again = again[(sym[again] == 48) | (sym[again] == 32)]
+    begins = keep[first]
+    keep[again] = False
+    keep[first] = begins
+    at = np.flatnonzero(keep)
+    left = np.searchsorted(at, last) - np.searchsorted(at, first)
+    out = np.ones(len(at) + len(left), np.uint32)
     start = np.concatenate(([0], np.cumsum(left + 1)[:-1]))
     place = np.ones(len(out), bool)
     place[start] = False
-    out[place] = sym[keep]
+    out[place] = sym.take(at)
     text = np.searchsorted(starts, s, side="right") - 1
     return out, start, text, np.concatenate((text[1:] != text[:-1], [True]))
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_FIRST = np.uint64(0xD6E8FEB86659FD93)
+
+
+@cache
+def _powers(base: int, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.append(np.uint64(1), np.full((1 << bits) - 1, base, np.uint64)))
 
 
 class _Contexts:
@@ -105,17 +116,44 @@ class _Contexts:
 
     def __init__(self, sym: np.ndarray, start: np.ndarray):
         n = len(sym)
+        bits = max(n.bit_length(), 12)
+        self.inverse = _powers(_INVERSE, bits)
+        self.plus = sym.astype(np.uint64)
+        self.plus += np.uint64(1)
+        self.sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _BASE, np.uint64))))
-            self.inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _INVERSE, np.uint64))))
-            self.sums = np.concatenate(([np.uint64(0)], np.cumsum((sym.astype(np.uint64) + np.uint64(1)) * power[:n])))
-        self.own = np.repeat(start, np.diff(np.append(start, n)))
+            np.cumsum(self.plus * _powers(_BASE, bits)[:n], out=self.sums[1:])
+        self.start, self.own = start, np.repeat(start, np.diff(np.append(start, n)))
 
     def at(self, ends: np.ndarray, level: int) -> np.ndarray:
         """The hash of the last LEVELS[level] symbols up to each end, never beyond the sentence's start; its lowest bit is 0."""
-        a = np.maximum(ends + 1 - LEVELS[level], self.own[ends])
+        a = ends + (1 - LEVELS[level])
+        np.maximum(a, self.own.take(ends), out=a)
         with np.errstate(over="ignore"):
-            return K.mix((self.sums[ends + 1] - self.sums[a]) * self.inverse[a] + np.uint64(level + 1) * np.uint64(0xD6E8FEB86659FD93)) & ~np.uint64(1)
+            h = self.sums[1:].take(ends)
+            h -= self.sums.take(a)
+            h *= self.inverse.take(a)
+            return self._mixed(h, level)
+
+    def first(self) -> np.ndarray:
+        """The same of the first level for all positions, without look-ups: a polynomial of the last symbols."""
+        size = LEVELS[0]
+        with np.errstate(over="ignore"):
+            h = self.plus * np.uint64(pow(_BASE, size - 1, 1 << 64))
+            for back in range(1, size):
+                h[back:] += self.plus[: len(h) - back] * np.uint64(pow(_BASE, size - 1 - back, 1 << 64))
+        h = self._mixed(h, 0)
+        near = (self.start[:, None] + np.arange(size - 1)).reshape(-1)  # at a sentence's start the contexts are shorter
+        near = near[near < len(h)]
+        h[near] = self.at(near, 0)
+        return h
+
+    def _mixed(self, h: np.ndarray, level: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h += np.uint64(level + 1) * _FIRST
+            h = K.mix(h)
+        h &= ~np.uint64(1)
+        return h
 
 
 @cache
@@ -139,21 +177,42 @@ def _languages(texts: list[str]) -> list[str | None]:
 TAILS = "chapter_id long, lang string, ended boolean, broken boolean, line long, line_ctx long, contexts array<long>, before_ended boolean, before_contexts array<long>, whole_contexts array<long>, inner_contexts array<long>"
 
 
+def _ended(text: str) -> bool:
+    """Whether the last sentence has its mark."""
+    end = text[-TAIL:].rstrip(_QUOTES)
+    return end[-1] in _MARKS or (end[-1] == "." and end[-2:-1] != ".") if end else False
+
+
 def _state(text: str) -> tuple[bool, str]:
     """(the last sentence has its mark, the text without what stands behind its end)."""
-    ended = bool(_ENDED.search(text[-TAIL:]))
+    ended = _ended(text)
     return ended, text if ended else _BEHIND.sub("", text)
 
 
-def _last_contexts(texts: list[str]) -> list[list[int] | None]:
-    sym, start, text, last = _symbols(texts)
+#: The contexts at a text's end are first looked for in so many of its characters.
+END = 160
+
+
+def _last_contexts(texts: list[str], size: int = END) -> list[list[int] | None]:
+    """The contexts at the end of each text; None where it has no sentence.
+
+    The last characters tell them if they hold the last sentence's start, or more of it than the longest context; else
+    the whole text is looked at."""
+    sym, start, text, last = _symbols([t[-size:] for t in texts])
     out: list[list[int] | None] = [None] * len(texts)
+    sure = np.array([len(t) <= size for t in texts], bool)
     if len(start):
-        ends = np.append(start[1:], len(sym))[last] - 1
+        stop = np.append(start[1:], len(sym))[last]
         contexts = _Contexts(sym, start)
-        h = np.stack([contexts.at(ends, j) for j in range(len(LEVELS))], axis=1)
+        h = np.stack([contexts.at(stop - 1, j) for j in range(len(LEVELS))], axis=1)
         for t, row in zip(text[last].tolist(), h.view(np.int64).tolist()):
             out[t] = row
+        only = np.append(True, last[:-1])[last]  # the text's last sentence here is its first one too
+        sure[text[last]] |= ~only | (stop - start[last] > LEVELS[-1] + 2)
+    rest = np.flatnonzero(~sure).tolist()
+    if rest:
+        for i, contexts_of in zip(rest, _last_contexts([texts[i] for i in rest], max(len(texts[i]) for i in rest))):
+            out[i] = contexts_of
     return out
 
 
@@ -164,6 +223,17 @@ def _back(i: int, size: int) -> int:
     return 1 + (h >> 8) % min(BACK, size - 1)
 
 
+def _line_keys(lines: list[str]) -> list[int | None]:
+    """A hash of each line's letters; None where it has none."""
+    words = ["".join(filter(str.isalpha, line.lower())) for line in lines]
+    cp, starts = K.codepoints(words, "")
+    some = np.flatnonzero(np.diff(starts)).tolist()
+    out: list[int | None] = [None] * len(lines)
+    for i, key in zip(some, K.run_hashes(cp, starts[some], starts[1:][some]).view(np.int64).tolist()):
+        out[i] = key
+    return out
+
+
 def _tails():
     kinds = [("chapter_id", pa.int64()), ("lang", pa.string()), ("ended", pa.bool_()), ("broken", pa.bool_()), ("line", pa.int64()), ("line_ctx", pa.int64()), ("contexts", pa.list_(pa.int64())), ("before_ended", pa.bool_()), ("before_contexts", pa.list_(pa.int64())), ("whole_contexts", pa.list_(pa.int64())), ("inner_contexts", pa.list_(pa.int64()))]
 
@@ -178,7 +248,7 @@ def _tails():
                     if not s:
                         continue
                     ended, bare = _state(s)
-                    rows.append([i, None, ended, bool(_BROKEN.search(s)), *[None] * 7])
+                    rows.append([i, None, ended, s.endswith(_BROKEN), *[None] * 7])
                     # a sentence never reaches further back than the longest context needs
                     if not ended:
                         head, _, line = bare.rpartition("\n")
@@ -196,9 +266,8 @@ def _tails():
                     lines = _last_contexts([x[2] for x in doubt])
                     before = _last_contexts([x[3] for x in doubt])
                     langs = _languages([x[1][-400:] for x in doubt])
-                    for (r, _, line, b, be), c, lc, bc, lang in zip(doubt, now, lines, before, langs):
-                        word = "".join(ch for ch in line.lower() if ch.isalpha())
-                        key = int(K.run_hashes(np.frombuffer(word.encode("utf-32-le"), np.uint32), np.array([0]), np.array([len(word)])).view(np.int64)[0]) if word and b else None
+                    for (r, _, _, b, be), key, c, lc, bc, lang in zip(doubt, _line_keys([x[2] for x in doubt]), now, lines, before, langs):
+                        key = key if b else None
                         rows[r][1] = lang
                         rows[r][4:9] = [key, lc[-1] if lc and key is not None else None, c, be if b else None, bc if b and not be else None]
                 if rows:
@@ -241,19 +310,22 @@ def _counter(bitmap):
                     continue
                 # outcome: the sentence's last position ends it; that of a text's last sentence only if a mark says so
                 final = np.append(start[1:], len(sym)) - 1
-                ended = np.fromiter((_state(_stripped(t))[0] for t in texts), bool, len(texts))
+                ended = np.fromiter((_ended(_stripped(t)) for t in texts), bool, len(texts))
                 counted, outcome = np.ones(len(sym), bool), np.zeros(len(sym), np.uint64)
                 counted[start] = False
                 counted[final[last & ~ended[text]]] = False
                 outcome[final] = 1
-                contexts, ends = _Contexts(sym, start), np.flatnonzero(counted)
+                contexts = _Contexts(sym, start)
                 for j in range(len(LEVELS)):
                     # a context in doubt is so with all its shorter ones: what fails at one level fails at the longer ones
-                    h = contexts.at(ends, j)
-                    slot = (h & last_slot).astype(np.int32)
-                    ok = ((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool)
-                    h, ends = h[ok], ends[ok]
-                    kept.append(h | outcome[ends])
+                    h = contexts.at(ends, j) if j else contexts.first()
+                    slot = (h & last_slot).view(np.int64)
+                    ok = ((bits.take(slot >> 3) >> (slot & 7).astype(np.uint8)) & np.uint8(1)).view(bool)
+                    if not j:
+                        ok &= counted
+                    ok = np.flatnonzero(ok)
+                    h, ends = h.take(ok), ends.take(ok) if j else ok
+                    kept.append(h | outcome.take(ends))
                     held += len(h)
                 if held > 1_000_000:
                     fold()
@@ -293,13 +365,21 @@ def _odds(contexts: DataFrame, counts: DataFrame) -> DataFrame:
         contexts.where("contexts is not null")
         .select(*kept, "own_end", "own_on", F.posexplode("contexts").alias("level", "ctx"))
         .join(counts, "ctx", "left")
-        .select(*kept, F.struct("level", seen("n_end", "own_end").alias("e"), seen("n_on", "own_on").alias("o")).alias("x"))
-        .where("x.level = 0 or x.e + x.o > 0")  # a context that is seen nowhere else changes nothing
+        .select(*kept, "level", seen("n_end", "own_end").alias("e"), seen("n_on", "own_on").alias("o"))
+        .where("level = 0 or e + o > 0")  # a context that is seen nowhere else changes nothing
     )
-    pair = F.array_sort(F.collect_list("x"))  # at most one row per level
-    # the share that ends and the share that goes on, each by itself: 1 less a share that rounds to 1 is 0, which has no logarithm
-    share = lambda outcome, prior: F.aggregate(pair, F.lit(prior), lambda acc, x: (x[outcome] + BACKOFF * acc) / (x["e"] + x["o"] + BACKOFF))
-    return each.groupBy(*kept).agg(share("e", PRIOR).alias("p"), share("o", 1 - PRIOR).alias("q")).select(*kept, (F.log("p") - F.log("q")).alias("log_odds"))
+    # both counts of each level, side by side: at most one row per level, so each sum is that row's count, or 0
+    levels = range(len(LEVELS))
+    sums = each.groupBy(*kept).agg(*[F.sum(F.when(F.col("level") == j, F.col(c)).otherwise(0.0)).alias(f"{c}{j}") for c in "eo" for j in levels])
+
+    def share(outcome: str, prior: float) -> Column:
+        """The share of an outcome, each by itself: 1 less a share that rounds to 1 is 0, which has no logarithm."""
+        acc = F.lit(prior)
+        for j in levels:
+            acc = (F.col(f"{outcome}{j}") + BACKOFF * acc) / (F.col(f"e{j}") + F.col(f"o{j}") + BACKOFF)
+        return acc
+
+    return sums.select(*kept, (F.log(share("e", PRIOR)) - F.log(share("o", 1 - PRIOR))).alias("log_odds"))
 
 
 def _of(rows: DataFrame, column: str) -> DataFrame:
@@ -333,7 +413,7 @@ def thresholds(tails: DataFrame, counts: DataFrame) -> dict[str | None, float]:
 def scored(chapters: DataFrame, key: str = "id", text: str = "translated_text") -> DataFrame:
     """(chapter_id, lang, ended, broken, signoff, log_odds, threshold, cut) of every text that is not blank; log_odds is null where a mark ends it."""
     narrow = chapters.select(F.col(key).cast("long").alias("chapter_id"), F.col(text).alias("text")).where("chapter_id is not null and text is not null")
-    tails = written(narrow.mapInArrow(_tails(), TAILS).groupBy("chapter_id").agg(*[F.first(c).alias(c) for c in ("lang", "ended", "broken", "line", "line_ctx", "contexts", "before_ended", "before_contexts", "whole_contexts", "inner_contexts")]), "tails")
+    tails = written(narrow.mapInArrow(_tails(), TAILS).repartition("chapter_id").groupBy("chapter_id").agg(*[F.first(c).alias(c) for c in ("lang", "ended", "broken", "line", "line_ctx", "contexts", "before_ended", "before_contexts", "whole_contexts", "inner_contexts")]), "tails")
     doubt = tails.where("not ended")
     none = F.array().cast("array<long>")
     contexts = F.concat(*[F.coalesce(c, none) for c in ("contexts", "before_contexts", "whole_contexts", "inner_contexts")], F.array_compact(F.array("line_ctx")))

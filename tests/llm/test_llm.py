@@ -134,6 +134,18 @@ def test_residue_of_slots_without_words(spark):
     assert sorted(r["chapter_id"] for r in residue.residue_chapters(chapters(spark, rows)).collect()) == [1, 2, 4]
 
 
+def test_only_trusted_lines_are_grouped(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return df
+
+    monkeypatch.setattr(residue, "written", seen)
+    residue.propagated(spark.createDataFrame([], residue.LINES)).count()
+    assert plans["residue-keys"].startswith("Aggregate")
+
+
 def test_residue_links_like_brute_force(spark):
     """No pair of lines at a similarity of 0.8 or more is missed, and none below it is linked, whatever their length."""
     rng = random.Random(5)
@@ -183,6 +195,45 @@ def test_truncation(spark):
     assert truncation.found(chapters(spark, [])).count() == 0
 
 
+def _odd_texts(n, seed):
+    """Texts with long and short sentences, runs of digits and blanks, marks, and quotes behind end marks."""
+    rng = random.Random(seed)
+    parts = ["abc", "نور", "ال\u064bخ", "0000000", "7", "    ", " ", "\n", ". ", ".\" ", "؟» ", "。”", "!)", "他说", "...", "�", "\u0301", "x" * 50, "9" * 70, " " * 90]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 120))) for _ in range(n)] + ["", ".", "a", "7" * 400, "a" + " " * 400 + "b", "a. " + "»" * 300, "Yes. " + "b" * 300 + "."]
+
+
+def test_contexts_at_the_end_are_those_of_the_whole_text():
+    texts = _odd_texts(600, 4)
+    whole = truncation._last_contexts(texts, 10**6)
+    assert truncation._last_contexts(texts) == whole and truncation._last_contexts(texts, 45) == whole
+    assert sum(x is None for x in whole) < 100
+
+
+def test_only_ends_of_texts_are_looked_at(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    symbols = truncation._symbols
+    monkeypatch.setattr(truncation, "_symbols", lambda texts: seen.extend(map(len, texts)) or symbols(texts))
+    texts = ["The lamp stood by the gate of Orlen. " * 50 + end for end in ("Ann saw it.", "Ann saw")] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    assert sum(len(b) for b in truncation._tails()(iter([batch]))) == len(texts)
+    assert max(seen) <= truncation.END
+
+
+def test_first_contexts_like_those_looked_up():
+    sym, start, _, _ = truncation._symbols(_odd_texts(100, 5))
+    contexts = truncation._Contexts(sym, start)
+    assert np.array_equal(contexts.first(), contexts.at(np.arange(len(sym)), 0))
+
+
+def test_end_marks_like_a_pattern():
+    pattern = re.compile(r"(?:[!?؟！？。]|(?<!\.)\.)[\"”“»'’)\]]*$")
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab .!؟。”»')…") for _ in range(rng.randrange(9))).strip() for _ in range(2000)] + ["a." + "»" * 300, ".", "..", "»"]
+    assert [truncation._ended(t) for t in texts] == [bool(pattern.search(t[-truncation.TAIL :])) for t in texts]
+
+
 def test_thresholds_lie_between_the_kinds():
     whole, inner = np.zeros(80), np.zeros(80)
     whole[60:] = 10
